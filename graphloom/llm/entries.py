@@ -1,9 +1,12 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from graphloom.llm import mixing, packing, simhash
+from graphloom.llm import ctph, media, mixing, packing, simhash, tokens
 
 QUERIES = {
+    "op2_token_shards": tokens.op2,
+    "op6_piecewise_hash": ctph.op6,
     "op7_best_fit_packing": packing.op7,
+    "op8_media_columns": media.op8,
     "op9_simhash_bktree": simhash.op9,
     "op10_mix_sources": mixing.op10,
 }
