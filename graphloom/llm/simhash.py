@@ -124,7 +124,8 @@ def chains(values: list[int], radius: int) -> list[tuple[int, int]]:
 
     for i, x in enumerate(values):
         for j in tree.within(x, radius):
-            root[max(a := top(i), b := top(j))] = min(a, b)
+            a, b = top(i), top(j)
+            root[max(a, b)] = min(a, b)
         tree.add(x)
     last: dict[int, int] = {}
     edges = []
