@@ -1,12 +1,13 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from graphloom.llm import ctph, langid, media, mixing, packing, simhash, suffix, tokens, toxicity
+from graphloom.llm import ctph, html, langid, media, mixing, packing, simhash, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1,
     "op2_token_shards": tokens.op2,
     "op3_toxicity": toxicity.op3,
     "op4_language_id": langid.op4,
+    "op5_html_extract": html.op5,
     "op6_piecewise_hash": ctph.op6,
     "op7_best_fit_packing": packing.op7,
     "op8_media_columns": media.op8,
