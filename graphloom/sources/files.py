@@ -45,7 +45,7 @@ WARN_WORDS, MANY_WORDS, WARN_FILES = 50_000, 500_000, 200
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, content, length)`` below ``root``, paths relative to it."""
+    """``(path, content, length)`` below ``root``, paths relative to it; files whose names start with a dot aren't listed."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.escape(root.rstrip("/"))
     return df.select(F.regexp_replace("path", rf"^(?:\w+:(?://)?)?{base}/", "").alias("path"), "content", "length")
@@ -132,7 +132,7 @@ def ignored(files: DataFrame, *rule_lists: list[str]) -> DataFrame:
 
 def detect(files: DataFrame) -> DataFrame:
     """``files(path, content)`` → ``(path, file_type, words, sha256, sensitive)`` of what is to be read."""
-    rows = files.where(~in_noise()).withColumn("sensitive", is_sensitive()).withColumn("text", F.try_to_number(F.lit("0"), F.lit("9")).cast("string") if "content" not in files.columns else F.decode("content", "UTF-8"))
+    rows = files.where(~in_noise()).withColumn("sensitive", is_sensitive()).withColumn("text", F.decode("content", "UTF-8"))
     rows = rows.withColumn("file_type", classify("path", "text")).where("sensitive or file_type is not null")
     binary = F.col("file_type").isin("image") | extension("path").isin(*PAPERS, *OFFICE)
     return rows.select("path", "file_type", F.when(~binary, word_count("text")).otherwise(0).cast("long").alias("words"), F.sha2("content", 256).alias("sha256"), "sensitive")
