@@ -157,13 +157,15 @@ class Scorer:
         self.rows = np.concatenate([self.rows, *got]) if got else self.rows
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         counted = [Counter(words_of(t)) for t in texts]
         out = []
         for lo in range(0, len(counted), 64):
             part = counted[lo : lo + 64]
             self.learn(set().union(*part))
             for c in part:
-                if not c or not self.langs:
+                if not c:
                     out.append(("und", 0.0))
                     continue
                 ll = np.fromiter(c.values(), dtype=float, count=len(c)) @ self.rows[[self.known[w] for w in c]]
