@@ -25,6 +25,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     if sym.isEmpty():
         return sym.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     parents = cut(sym.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("parent")))
+    state = F.bit_xor(F.xxhash64("node", "parent"))
+    was = parents.agg(state).first()[0]
     for _ in range(max_rounds):
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         seen = parents.join(up, "parent").select("node", "parent", "grand")
@@ -41,9 +43,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
                 )
             ).alias("o")
         )
-        after = cut(offers.select("o.*").groupBy("node").agg(F.min("parent").alias("parent")))
-        moved = after.join(parents.withColumnRenamed("parent", "was"), "node").where("parent <> was").limit(1).count()
-        parents = after
-        if not moved:
+        parents = cut(offers.select("o.*").groupBy("node").agg(F.min("parent").alias("parent")))
+        now = parents.agg(state).first()[0]
+        if now == was:
             return parents.select("node", F.col("parent").alias("component"))
+        was = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -66,15 +66,15 @@ def test_markdown(spark):
 
 SOURCES = {
     "a.py": "import os\nclass A:\n    def go(self):\n        return helper()\n\ndef helper():\n    return 1\n",
-    "a.rs": "use std::fs;\npub struct A {}\nimpl Run for A {}\nfn helper() {}\npub fn go() { helper(); }\n",
-    "a.go": 'import "fmt"\ntype A struct {}\nfunc helper() {}\nfunc (a A) go1() { helper() }\n',
-    "a.ts": "import { B } from './b';\nexport class A {}\nfunction helper() {}\nexport function go() { helper(); }\n",
-    "a.java": "import x.B;\npublic class A {\n  private int helper() { return 1; }\n  public int go() { return helper(); }\n}\n",
+    "a.rs": "use std::fs;\npub struct A {}\nimpl Run for A {}\nfn helper() {}\npub fn go() {\n helper(); }\n",
+    "a.go": 'import "fmt"\ntype A struct {}\nfunc helper() {}\nfunc (a A) go1() {\n helper() }\n',
+    "a.ts": "import { B } from './b';\nexport class A {}\nfunction helper() {}\nexport function go() {\n helper(); }\n",
+    "a.java": "import x.B;\npublic class A {\n  private int helper() { return 1; }\n  public int go() {\n return helper(); }\n}\n",
     "a.c": "#include <stdio.h>\nstruct A { int x; };\nint helper(int a) {\n return a; }\nint go(void) {\n return helper(1); }\n",
     "a.rb": "require 'set'\nclass A\n  def helper()\n  end\n  def go\n    helper()\n  end\nend\n",
-    "a.cs": "using System;\npublic class A {\n  int helper() { return 1; }\n  int go() { return helper(); }\n}\n",
-    "a.kt": "import x.B\nclass A\nfun helper() = 1\nfun go() = helper()\n",
-    "a.swift": "import Foundation\nclass A {}\nfunc helper() {}\nfunc go() { helper() }\n",
+    "a.cs": "using System;\npublic class A {\n  int helper() { return 1; }\n  int go() {\n return helper(); }\n}\n",
+    "a.kt": "import x.B\nclass A\nfun helper() = 1\nfun go() =\n helper()\n",
+    "a.swift": "import Foundation\nclass A {}\nfunc helper() {}\nfunc go() {\n helper() }\n",
 }
 
 
