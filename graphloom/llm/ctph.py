@@ -21,9 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import bound
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST_BLOCK, LENGTH, MOST, COMMON = 7, 3, 64, 128, 4
-CUTS, MOST_BUCKETS, BUCKET_DOCS = 256, 65_536, 1024
+CUTS, MOST_BUCKETS, BUCKET_DOCS = 256, 65_536, 128
 
 
 def _rolling(a: np.ndarray) -> np.ndarray:
@@ -162,6 +164,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 last = now
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
+    bound(docs.sparkSession)
     return with_followers(docs).mapInPandas(run, OUT)
 
 

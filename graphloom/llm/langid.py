@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import bound
+
 FIT_DOCS, ROUNDS, MOST_LANGUAGES = 1500, 3, 256
 VOCABULARY = "piece_bpe_32k.model"
 MARK, LONGEST, LONGEST_WORD = "▁", 16, 40
@@ -184,6 +186,7 @@ _models: dict[str, Scorer] = {}
 
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS, vocabulary: str | None = None) -> tuple[list[str], np.ndarray]:
     """Fits on at most ``fit_docs`` documents a language that have a lang and aren't held out."""
+    bound(docs.sparkSession)
     path = vocabulary or vocabulary_path()
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
@@ -212,6 +215,7 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, vocabulary: str | None = No
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str | None = None, keep=()) -> DataFrame:
     """``docs`` with lang_pred and score; columns in ``keep`` come along."""
     spark = docs.sparkSession
+    bound(spark)
     model = spark.sparkContext.broadcast((langs, p.astype(np.float32)))  # languages x pieces, both bounded
     fields = [f for f in docs.schema.fields if f.name in keep]
     from pyspark.sql import types as T

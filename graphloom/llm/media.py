@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from graphloom.llm.batches import bound
 from graphloom.llm.files import NewFile, Ranges
 from graphloom.workspace import new_path, written
 
@@ -103,6 +104,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
                 pdf["shard"] = uri
                 yield pdf[["doc_id", "n_bytes", "media_sha256", "shard", "offset", "length"]]
 
+    bound(docs.sparkSession)
     return written(docs.select("doc_id", "text").mapInPandas(run, INDEX), "media-index")
 
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import bound
 from graphloom.operators.components import connected_components
 from graphloom.workspace import written
 
@@ -76,6 +77,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([_signed(fingerprint(hashes(t, words))) for t in pdf["text"]], dtype=np.int64)})
 
+    bound(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
 
 

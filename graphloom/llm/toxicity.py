@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.batches import bound
+
 FIT_DOCS, FEATURES, FAIR, RIDGE, CUT = 30_000, 4096, 4.0, 1e-3, 0.7
 LEAST_DOCS, LEAST_GAIN, PRUNE = 5, 8.0, 2
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,6 +126,7 @@ def fit(rows: list[tuple[int, list[int], list[int] | None]], n: int, ridge: floa
 
 def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[dict[str, float], float]:
     """Feature weights and the bias, from labelled rows that aren't held out."""
+    bound(docs.sparkSession)
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -178,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple
 
 def score(docs: DataFrame, weights: dict[str, float], bias: float, keep=("doc_id",)) -> DataFrame:
     """``docs`` with score; columns in ``keep`` come along."""
+    bound(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name in keep]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
     starts = {f[:-1]: x for f, x in weights.items() if f.endswith("|")}
