@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import bound
 from graphloom.workspace import written
 
 BROADCAST_BYTES = 16_000_000
@@ -342,7 +343,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 if page:
                     tree = fold(page)
                     found[host] = merge(found[host], tree) if host in found else tree
-        yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w, separators=(",", ":")) for w in found.values()]})
+        if found:
+            yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w, separators=(",", ":")) for w in found.values()]})
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
         trees = [json.loads(w) for w in sorted(pdf["wrapper"])]
@@ -351,6 +353,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             tree = merge(tree, t)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(tree, separators=(",", ":"))]})
 
+    bound(pages.sparkSession)
     told = pages.select(host_of().alias("host"), "html").mapInPandas(here, "host string, wrapper string")
     return written(told.groupBy("host").applyInPandas(together, "host string, wrapper string"), "wrappers")
 
