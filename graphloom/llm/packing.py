@@ -93,7 +93,7 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     cluster_no = [known.setdefault(c, len(known)) if t else None for c, t in zip(pdf["cluster"], twice, strict=True)]
     rows, full = [], 0
     for i, size in enumerate(pdf["size"]):
-        for p in range(size // capacity if size > capacity or size == capacity else 0):
+        for p in range(size // capacity):
             rows.append((i, p, capacity, f"{shard}:f{full}"))
             full += 1
     rest = []
@@ -129,7 +129,6 @@ def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(pdf, capacity)
 
-    light = light.select("doc_id", "source", F.col("cluster"), "size", "shard")
     return light.groupBy("shard").applyInPandas(run, OUT)
 
 

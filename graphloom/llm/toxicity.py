@@ -82,7 +82,7 @@ def gain(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
         p = np.clip(x / n, 1e-12, 1 - 1e-12)
         return x * np.log(p) + (n - x) * np.log1p(-p)
 
-    return 2 * (h(a, pos) + h(b, neg) - h(a + b, pos + neg) + 0 * a) - 2 * (0 if pos and neg else 1)
+    return 2 * (h(a, pos) + h(b, neg) - h(a + b, pos + neg))
 
 
 def fit(rows: list[tuple[int, list[int], list[int] | None]], n: int, ridge: float = RIDGE, fair: float = FAIR, rounds: int = 300) -> np.ndarray:
@@ -149,10 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple
             yield pd.DataFrame({"feature": ["", *found], "pos": [n[1], *[total[1][f] for f in found]], "neg": [n[0], *[total[0][f] for f in found]]})
 
     counted = texts.mapInPandas(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # more often present in toxic texts than in others, or the other way round: the wish for a share of labels needs totals, which are known
+    # what is clearly more often in toxic texts than in others, or the other way round
     rate = (F.col("pos") + 0.5) / F.lit(pos + 1.0) / ((F.col("neg") + 0.5) / F.lit(neg + 1.0))
     strong = counted.where((F.col("feature") == "") | ((F.col("pos") + F.col("neg") >= LEAST_DOCS) & ((rate > PRUNE) | (rate < 1 / PRUNE))))
-    strength = F.abs(F.log(rate)) * F.sqrt(F.least("pos", "neg") + F.greatest("pos", "neg"))
+    strength = F.abs(F.log(rate)) * F.sqrt(F.col("pos") + F.col("neg"))
     got = strong.orderBy(F.col("feature") != "", F.desc(strength), "feature").limit(4 * FEATURES).toPandas()
     total = got[got["feature"] == ""]
     n_pos, n_neg = int(total["pos"].sum()), int(total["neg"].sum())
