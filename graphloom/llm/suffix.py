@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,15 +129,25 @@ def _split(name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((x >> np.uint64(39)) % np.uint64(buckets)).astype(np.int64), x & np.uint64((1 << 39) - 1)
 
 
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(x: np.ndarray) -> bytes:
-    """Five bytes for each number below 2**40."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    """Ascending numbers below 2**40: their differences, byte by byte, compressed."""
+    delta = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return _zip(np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes())
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), dtype=np.uint8)
-    out[:, :5] = np.frombuffer(b, dtype=np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    planes = np.frombuffer(_unzip(b), dtype=np.uint8).reshape(5, -1)
+    delta = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    delta[:, :5] = planes.T
+    return np.cumsum(delta.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -210,7 +221,7 @@ def tell_runs(docs: pd.DataFrame, repeated: pd.DataFrame, buckets: int, width: i
         for b, part in _by_bucket(np.array(where, dtype=np.int64)) if where else ():
             us = [texts[i] for i in part]
             lens = np.fromiter(map(len, us), dtype="<i4", count=len(us))
-            rows.append((0, b, grp, b"".join(us), lens.tobytes(), least_a[part].tobytes(), part.astype("<i4").tobytes()))
+            rows.append((0, b, grp, _zip(b"".join(us)), lens.tobytes(), least_a[part].tobytes(), part.astype("<i4").tobytes()))
         if number:
             no = np.array(number, dtype=np.int64)
             later = g.ids[doc[hit]] > least_a[no]
@@ -309,6 +320,16 @@ def sort_block(t: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.nd
     return np.concatenate(orders), np.cumsum(np.concatenate(starts)) - 1
 
 
+def _shared_names(t: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """A flag for each run of which the name is another run's too."""
+    out = np.zeros(len(start), dtype=bool)
+    if len(start):
+        name = np.concatenate([names(t[start[lo : lo + 20_000, None] + np.arange(width)].ravel(), width)[::width] for lo in range(0, len(start), 20_000)])
+        _, which, n = np.unique(name, return_inverse=True, return_counts=True)
+        out = n[which] > 1
+    return out
+
+
 ANSWERS = "grp long, packed binary"
 
 
@@ -317,7 +338,7 @@ def answer_runs(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     seen: dict[bytes, int] = {}
     row, run, no, least = [], [], [], []
     for r, (a, b, c, d) in enumerate(zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"], strict=True)):
-        at = 0
+        at, a = 0, _unzip(a)
         for n in np.frombuffer(b, dtype="<i4").tolist():
             no.append(seen.setdefault(a[at : at + n], len(seen)))
             at += n
@@ -333,9 +354,11 @@ def answer_runs(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     start = np.cumsum(lens) - lens
     t = np.frombuffer(b"".join(texts) + bytes(2 * PERIOD + 8 * CoverSample.DEPTH), dtype=np.uint8)
     count = lens - width + 1
-    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
     low = np.zeros(len(t), dtype=bool)  # strings that a document smaller than their run's owner has
-    if len(texts) > 1:
+    many = np.flatnonzero(_shared_names(t, start, width))  # a run alone with its name holds no other run's strings
+    if len(many):
+        n = count[many]
+        at = np.repeat(start[many] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         order, cls = sort_block(t, at, width)
         text_of = np.searchsorted(start, order, side="right") - 1
         cut = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
