@@ -17,7 +17,9 @@ import bisect
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.llm.batches import bound
 from graphloom.llm.files import NewFile, Ranges
 from graphloom.workspace import new_path, written
 
@@ -164,15 +167,28 @@ class Table:
 
 _TWO = re.compile(r"\s\s")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-KEEP_WORDS = 400_000
+_TAIL = ".,!?;:|*#$%&"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones as they are, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_letters()
+KEEP_WORDS = 450_000
 
 
 class Encoder:
     """A tokenizer that remembers words.
 
-    The pre-tokenizer of byte-level BPE never joins across one space between two
-    characters that are not white space, so what lies between such spaces is
-    encoded on its own, once, and the results are strung together.
+    The pre-tokenizer of byte-level BPE never joins across one space or line end
+    between two characters that are not white space, nor a letter or figure with
+    punctuation after it. What lies between such places is encoded on its own,
+    once, and the results are strung together. Words not met for two generations
+    are forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -180,24 +196,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.words = self.model.model.tokenize
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        a = array(self.kind, ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    @staticmethod
+    def units(piece: str) -> list[str]:
+        """Parts of a piece that are encoded independently."""
+        out = []
+        for i, line in enumerate(piece.split("\n")):
+            if i:
+                out.append("\n")
+            core = line.rstrip(_TAIL)
+            if core and len(core) < len(line) and core[-1].isalnum():
+                out += [core, line[len(core) :]]
+            elif line:
+                out.append(line)
+        return out
+
+    def _learn(self, pieces: set[str], apart: bool) -> None:
+        """Remembers pieces, found by what follows their space; ``apart``: no white space runs in them."""
+        known, older, have = self.known, self.older, self.parts
+        new: dict[str, list[str]] = {}
+        odd: dict[str, None] = {}
+        for p in pieces:
+            if p in older:
+                known[p] = older[p]
+                continue
+            new[p] = of = self.units(" " + p) if apart else [" " + p]
+            for u in of:
+                if u in have or u in odd:
+                    continue
+                if u[0] == " " and u[1:].isalpha():  # one word: the model alone, after the bytes' letters
+                    ids = [t.id for t in self.words(u.encode().decode("latin-1").translate(_BYTES))]
+                    have[u] = self.raw(ids)
+                else:
+                    odd[u] = None
+        fresh = list(odd)
+        for u, e in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            have[u] = self.raw(e.ids)
+        for p, of in new.items():
+            known[p] = have[of[0]] if len(of) == 1 else b"".join([have[u] for u in of])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            parts = t.split(" ") if not _TWO.search(t) else _BETWEEN.split(t)
-            split.append([p for p in [parts[0], *[" " + x for x in parts[1:]]] if p])
         if len(self.known) > KEEP_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
+        if len(self.parts) > KEEP_WORDS:
+            self.parts = {}
+        apart = [not _TWO.search(t) for t in texts]
+        split = [t.split(" ") if a else _BETWEEN.split(t) for t, a in zip(texts, apart, strict=True)]
+        first = [s.pop(0) for s in split]  # what stands before the first space
         known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
-        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = self.raw(e.ids)
-        return [b"".join([known[p] for p in parts]) for parts in split]
+        found = [list(map(known.get, s)) for s in split]
+        for kind in (True, False):
+            self._learn({p for s, f, a in zip(split, found, apart, strict=True) if a is kind for p, v in zip(s, f, strict=True) if v is None} - known.keys(), kind)
+        head = [self.raw(e.ids) for e in self.model.encode_batch_fast(first, add_special_tokens=False)]
+        return [h + b"".join([known[p] if v is None else v for p, v in zip(s, f, strict=True)]) for h, s, f in zip(head, split, found, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -233,6 +296,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         if out is not None:
             yield pd.DataFrame({"shard": [shard], "uri": [out.close()], "docs": [len(out.keys)], "tokens": [out.tokens]})
 
+    bound(docs.sparkSession)
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(ranged.mapInPandas(run, "shard int, uri string, docs long, tokens long"), "token-manifest")
 
