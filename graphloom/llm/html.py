@@ -1,4 +1,4 @@
-"""Main text of pages through wrappers inferred for each host.
+"""Main text of pages through wrappers inferred for each template of a host.
 
 A wrapper is a union-free regular expression over the pages' tokens: elements
 with ordered children, where a child may be optional (``?``) or repeated (``+``)
@@ -8,9 +8,12 @@ children that match are merged, the rest become optional. Each task aligns the
 pages that it sees, a task for each host aligns the tasks' wrappers, so every
 page counts and a host with a third of all pages costs one row for each task.
 
-From the wrapper's slots (how often, how much text, how much of it in links,
-whether it is the same on all pages) follows which element paths hold the
-article; paths are then looked up while a page is read.
+A host's pages have one template if their text is held by the same kind of main
+element (or, without one, by the same path); each template has its own wrapper,
+so no template decides for another. From the kinds and class words of a
+wrapper's elements and how much text and text in links its slots have follows
+which element paths hold the article; paths are then looked up while a page is
+read. A page of which nothing would be left goes by its own elements.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs
 to the host ""; unclosed and stray tags are mended like browsers do; repeated
@@ -229,51 +232,43 @@ def _mass(node: list, own: bool = True) -> float:
     return node[2][0] - node[2][1] + sum(_mass(c) for c in node[1])
 
 
-def rules(root: list) -> dict[str, bool]:
-    """Which element paths hold text of the article."""
-    found: dict[str, bool] = {}
+def _tag(n: list) -> str:
+    return re.split(r"[.@!]", n[0], maxsplit=1)[0]
+
+
+MAINS = (
+    lambda n: _tag(n) == "article",
+    lambda n: _tag(n) == "main" or n[0].partition("@")[2].rstrip("!") in ("main", "article"),
+    lambda n: _tag(n) in ("div", "section", "td") and any(c in MAIN_WORDS for c in n[0].partition("@")[0].split(".")[1:]),
+)
 
-    def tag(n: list) -> str:
-        return re.split(r"[.@!]", n[0], maxsplit=1)[0]
 
-    mains: list[int] = []
+def _mains(root: list) -> tuple[str, list[list]]:
+    """The template of a tree, by what holds its text, and the nodes that do."""
 
-    def look(n: list, wanted) -> None:
+    def look(n: list, wanted) -> list[list]:
         if is_boilerplate(n[0]):
-            return
-        if wanted(n):
-            mains.append(id(n))
-        else:
-            for c in n[1]:
-                look(c, wanted)
+            return []
+        return [n] if wanted(n) else [m for c in n[1] for m in look(c, wanted)]
 
     total = _mass(root)
-    by_id = {}
+    for kind, wanted in enumerate(MAINS):
+        mains = look(root, wanted)
+        if mains and sum(_mass(n, False) for n in mains) >= 0.25 * total:
+            return str(kind), mains
+    n, path = root, ""
+    while True:  # down to the smallest element that holds most of the text
+        best = max(n[1], key=_mass, default=None)
+        if best is None or _tag(best) not in SECTION or _mass(best) < 0.7 * _mass(n, False):
+            return path or "/", [n]
+        n, path = best, f"{path}/{best[0]}"
 
-    def index(n: list) -> None:
-        by_id[id(n)] = n
-        for c in n[1]:
-            index(c)
-
-    index(root)
-    for wanted in (
-        lambda n: tag(n) == "article",
-        lambda n: tag(n) == "main" or n[0].partition("@")[2].rstrip("!") in ("main", "article"),
-        lambda n: tag(n) in ("div", "section", "td") and any(c in MAIN_WORDS for c in n[0].partition("@")[0].split(".")[1:]),
-    ):
-        mains.clear()
-        look(root, wanted)
-        if mains and sum(_mass(by_id[i], False) for i in mains) >= 0.25 * total:
-            break
-    else:
-        mains.clear()
-        n = root
-        while True:  # down to the smallest element that holds most of the text
-            best = max(n[1], key=_mass, default=None)
-            if best is None or tag(best) not in SECTION or _mass(best) < 0.7 * _mass(n, False):
-                break
-            n = best
-        mains.append(id(n))
+
+def rules(root: list) -> dict[str, bool]:
+    """Which element paths hold text of the article."""
+    found: dict[str, bool] = {}
+    tag = _tag
+    mains = {id(n) for n in _mains(root)[1]}
 
     def walk(n: list, path: str, inside: bool) -> None:
         here = f"{path}/{n[0]}" if n[0] else path
@@ -333,25 +328,28 @@ def extract(page: str | None, keep: dict[str, bool]) -> str:
     return " ".join(blocks)
 
 
+def _join(trees: dict[str, list], more: dict[str, list]) -> None:
+    for template, tree in more.items():
+        trees[template] = merge(trees[template], tree) if template in trees else tree
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper)``: the wrapper of each host as JSON."""
+    """``(host, wrapper)``: the wrappers of each host's templates as JSON."""
 
     def here(batches):
-        found: dict[str, list] = {}
+        found: dict[str, dict[str, list]] = {}
         for pdf in batches:
             for host, page in zip(pdf["host"], pdf["html"], strict=True):
                 if page:
-                    tree = fold(page)
-                    found[host] = merge(found[host], tree) if host in found else tree
+                    _join(found.setdefault(host, {}), {_mains(tree := fold(page))[0]: tree})
         if found:
             yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w, separators=(",", ":")) for w in found.values()]})
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees = [json.loads(w) for w in sorted(pdf["wrapper"])]
-        tree = trees[0]
-        for t in trees[1:]:
-            tree = merge(tree, t)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(tree, separators=(",", ":"))]})
+        trees: dict[str, list] = {}
+        for w in sorted(pdf["wrapper"]):
+            _join(trees, json.loads(w))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(trees, separators=(",", ":"))]})
 
     bound(pages.sparkSession)
     told = pages.select(host_of().alias("host"), "html").mapInPandas(here, "host string, wrapper string")
@@ -366,7 +364,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
 
     def run(batches):
-        compiled: dict[str, dict[str, bool]] = {}
+        compiled: dict[str, dict[str, dict[str, bool]]] = {}
         for pdf in batches:
             texts = []
             for page, wrapper in zip(pdf["html"], pdf["wrapper"], strict=True):
@@ -376,8 +374,9 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if wrapper not in compiled:
                     if len(compiled) > 256:
                         compiled.clear()
-                    compiled[wrapper] = rules(json.loads(wrapper))
-                texts.append(extract(page, compiled[wrapper]))
+                    compiled[wrapper] = {k: rules(t) for k, t in json.loads(wrapper).items()}
+                tree = fold(page)
+                texts.append(extract(page, compiled[wrapper][_mains(tree)[0]]) or extract(page, rules(tree)))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return rows.select("page_id", "url", "html", "wrapper").mapInPandas(run, "page_id long, url string, text string, n_chars long")
