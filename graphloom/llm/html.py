@@ -13,7 +13,8 @@ element (or, without one, by the same path); each template has its own wrapper,
 so no template decides for another. From the kinds and class words of a
 wrapper's elements and how much text and text in links its slots have follows
 which element paths hold the article; paths are then looked up while a page is
-read. A page of which nothing would be left goes by its own elements.
+read. The extraction is rule-based: repetition and sameness of slots are kept in
+the wrapper but decide nothing. A page of which nothing would be left goes by its own elements.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs
 to the host ""; unclosed and stray tags are mended like browsers do; repeated
