@@ -315,8 +315,7 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("label_propagation")
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    kg = star(spark, sf)
-    return community.propagate(KG(kg.nodes.where("node_type in ('module', 'struct', 'package', 'class')"), kg.edges.where("relation in ('contains', 'references')")), 4)
+    return community.propagate(star(spark, sf))
 
 
 query(
