@@ -14,12 +14,12 @@ an empty result; extra columns are not looked at.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
-import sys
+import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,9 +165,26 @@ class Table:
         return next((self.ids(raw) for k, raw in self._block(i) if k == key), None) if i < len(self.index) else None
 
 
-_TWO = re.compile(r"\s\s")
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_TAIL = ".,!?;:|*#$%&"
+CHUNK, KEEP_WORDS, LONG_WORD = 1 << 20, 1_500_000, 64
+OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
+_CUT = re.compile(r"(?<=\S)[ \n\t]|(?<=[^\W\d_])(?=[^\w\s'])|(?<=[^\W\d_])(?=[0-9])")
+_MULT = 0x9E3779B97F4A7C15
+
+
+def _class_of(cp: int, data) -> int:
+    kind = data.category(chr(cp))
+    if kind[0] == "Z" or 9 <= cp <= 13 or cp == 0x85:
+        return SPACE
+    return LETTER if kind[0] == "L" else NUMBER if kind[0] == "N" else OTHER
+
+
+def classes() -> np.ndarray:
+    """What the pre-tokenizer's pattern sees in each code point; ``UNSURE`` where versions of Unicode differ."""
+    out = np.full(0x110000, UNSURE, dtype=np.uint8)
+    for cp in range(0x30000):
+        now = _class_of(cp, unicodedata)
+        out[cp] = now if now == _class_of(cp, unicodedata.ucd_3_2_0) else UNSURE
+    return out
 
 
 def _byte_letters() -> dict[int, int]:
@@ -178,17 +195,63 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTES = _byte_letters()
-KEEP_WORDS = 450_000
 
 
-class Encoder:
-    """A tokenizer that remembers words.
+def _letters(words: list[str]) -> list[str]:
+    """Each word in the letters that stand for its bytes."""
+    if any("\n" in w for w in words):
+        return [w.encode().decode("latin-1").translate(_BYTES) for w in words]
+    return "\n".join(words).encode().decode("latin-1").translate(_BYTES | {10: 10}).split("\n")
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse."""
+
+    def __init__(self) -> None:
+        self.n, self.up, self.down = 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    The pre-tokenizer of byte-level BPE never joins across one space or line end
-    between two characters that are not white space, nor a letter or figure with
-    punctuation after it. What lies between such places is encoded on its own,
-    once, and the results are strung together. Words not met for two generations
-    are forgotten.
+    def grow(self, n: int) -> None:
+        if n > self.n:
+            self.n = max(n, CHUNK)
+            for name, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
+                x = np.full(self.n, base, dtype=np.uint64)
+                x[0] = 1
+                setattr(self, name, np.multiply.accumulate(x))
+
+
+def starts_of_words(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pre-tokenizer of byte-level BPE starts a word. ``first``: flags of the texts' beginnings.
+
+    A word is a run of letters, of numbers or of other characters with a space
+    before it, an ending after an apostrophe, or white space; the last of
+    several white space characters before something else stands apart.
+    """
+    n = len(cp)
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    white = kind == SPACE
+    start[:-1] |= white[:-1] & ~white[1:] & ~first[1:]
+    start[1:] &= ~((cp[:-1] == 32) & ~white[1:] & ~first[1:])  # the space belongs to what follows it
+    for q in np.flatnonzero((cp == 39) & start).tolist():
+        if q + 1 < n and not first[q + 1]:
+            a, b = int(cp[q + 1]), int(cp[q + 2]) if q + 2 < n and not first[q + 2] else 0
+            size = 2 if a in (115, 116, 109, 100) else 3 if (a, b) in ((114, 101), (118, 101), (108, 108)) else 0  # s t m d, re ve ll
+            if size:
+                start[q + 1] = False
+                if q + size < n:
+                    start[q + size] = True
+    return start
+
+
+class Encoder:
+    """A tokenizer that meets every distinct word once.
+
+    Texts are cut into the pre-tokenizer's words and the words hashed as arrays;
+    the library's model encodes those that are new, and the ids of a text are
+    gathered from what it said. Tokenizers with another pre-tokenizer, texts
+    with added tokens and texts with letters of newer versions of Unicode are
+    left to the library as they are. Words beyond ``LONG_WORD`` letters have a
+    hash of their own, so the arithmetic one is asked for short words only.
     """
 
     def __init__(self, path: str) -> None:
@@ -198,69 +261,118 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.words = self.model.model.tokenize
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.dtype = f"<u{self.width}"
+        spec = json.loads(self.model.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.by_words = (
+            spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+            and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        )
+        self.kinds, self.powers = classes() if self.by_words else None, Powers()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.offset, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, self.dtype)
 
     def raw(self, ids: list[int]) -> bytes:
-        a = array(self.kind, ids)
-        if sys.byteorder == "big":
-            a.byteswap()
-        return a.tobytes()
-
-    @staticmethod
-    def units(piece: str) -> list[str]:
-        """Parts of a piece that are encoded independently."""
-        out = []
-        for i, line in enumerate(piece.split("\n")):
-            if i:
-                out.append("\n")
-            core = line.rstrip(_TAIL)
-            if core and len(core) < len(line) and core[-1].isalnum():
-                out += [core, line[len(core) :]]
-            elif line:
-                out.append(line)
-        return out
-
-    def _learn(self, pieces: set[str], apart: bool) -> None:
-        """Remembers pieces, found by what follows their space; ``apart``: no white space runs in them."""
-        known, older, have = self.known, self.older, self.parts
-        new: dict[str, list[str]] = {}
-        odd: dict[str, None] = {}
-        for p in pieces:
-            if p in older:
-                known[p] = older[p]
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Has the library's model encode new words, which it wants in the letters that stand for bytes."""
+        said = list(map(self.words, _letters(words)))
+        size = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
+        ids = [t.id for found in said for t in found]
+        n = len(self.offset)
+        self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(size) - size])
+        self.count = np.concatenate([self.count, size])
+        self.flat = np.concatenate([self.flat, np.array(ids, dtype=self.dtype)])
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.places = np.insert(self.places, at, n + order)
+
+    def _encode_words(self, texts: list[str]) -> list[np.ndarray]:
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        joined = "".join(texts)
+        cp = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        n = len(cp)
+        if not n:
+            return [np.zeros(0, self.dtype)] * len(texts)
+        kind = self.kinds[cp]
+        if (kind == UNSURE).any() or any(a in joined for a in self.added):
+            odd = [any(a in t for a in self.added) or bool((self.kinds[np.frombuffer(t.encode("utf-32-le"), dtype="<u4")] == UNSURE).any()) for t in texts]
+            one, other = iter(self.library([t for t, o in zip(texts, odd, strict=True) if o])), iter(self._encode_words([t for t, o in zip(texts, odd, strict=True) if not o]))
+            return [next(one if o else other) for o in odd]
+        first = np.zeros(n, dtype=bool)
+        end = np.cumsum(size)
+        first[(end - size)[size > 0]] = True
+        at = np.flatnonzero(starts_of_words(cp, kind, first))
+        self.powers.grow(n + 1)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * self.powers.up[:n], out=total[1:])
+        stop = np.append(at[1:], n)
+        h = (total[stop] - total[at]) * self.powers.down[at]
+        h ^= h >> np.uint64(32)
+        for i in np.flatnonzero(stop - at > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(joined[at[i] : stop[i]].encode(), 1)
+        code, keys = pd.factorize(h)
+        rising = np.argsort(keys)
+        place = np.empty(len(keys), dtype=np.int64)
+        place[rising] = np.searchsorted(self.keys, keys[rising])
+        known = np.zeros(len(keys), dtype=bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        if not known.all():
+            example = np.empty(len(keys), dtype=np.int64)
+            example[code[::-1]] = np.arange(len(code))[::-1]
+            new = np.flatnonzero(~known)
+            self._learn(keys[new], [joined[a:b] for a, b in zip(at[example[new]].tolist(), stop[example[new]].tolist(), strict=True)])
+            place[rising] = np.searchsorted(self.keys, keys[rising])
+        word = self.places[place][code]
+        count = self.count[word]
+        upto = np.cumsum(count)
+        ids = self.flat[np.repeat(self.offset[word] - (upto - count), count) + np.arange(upto[-1])]
+        words_before = np.searchsorted(at, end, side="left")
+        ends = np.where(words_before > 0, upto[words_before - 1], 0).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.by_words:
+            return self.library(texts)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        part: list[tuple[int, str]] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal part, held
+            if len(self.keys) > KEEP_WORDS:
+                self.forget()
+            for (i, _), ids in zip(part, self._encode_words([t for _, t in part]), strict=True):
+                out[i].append(ids)
+            part, held = [], 0
+
+        for i, text in enumerate(texts):
+            lo = 0
+            if len(text) > CHUNK and any(a in text for a in self.added):
+                out[i] += self.library([text])
                 continue
-            new[p] = of = self.units(" " + p) if apart else [" " + p]
-            for u in of:
-                if u in have or u in odd:
-                    continue
-                if u[0] == " " and u[1:].isalpha():  # one word: the model alone, after the bytes' letters
-                    ids = [t.id for t in self.words(u.encode().decode("latin-1").translate(_BYTES))]
-                    have[u] = self.raw(ids)
-                else:
-                    odd[u] = None
-        fresh = list(odd)
-        for u, e in zip(fresh, self.model.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            have[u] = self.raw(e.ids)
-        for p, of in new.items():
-            known[p] = have[of[0]] if len(of) == 1 else b"".join([have[u] for u in of])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEEP_WORDS:
-            self.older, self.known = self.known, {}
-        if len(self.parts) > KEEP_WORDS:
-            self.parts = {}
-        apart = [not _TWO.search(t) for t in texts]
-        split = [t.split(" ") if a else _BETWEEN.split(t) for t, a in zip(texts, apart, strict=True)]
-        first = [s.pop(0) for s in split]  # what stands before the first space
-        known = self.known
-        found = [list(map(known.get, s)) for s in split]
-        for kind in (True, False):
-            self._learn({p for s, f, a in zip(split, found, apart, strict=True) if a is kind for p, v in zip(s, f, strict=True) if v is None} - known.keys(), kind)
-        head = [self.raw(e.ids) for e in self.model.encode_batch_fast(first, add_special_tokens=False)]
-        return [h + b"".join([known[p] if v is None else v for p, v in zip(s, f, strict=True)]) for h, s, f in zip(head, split, found, strict=True)]
+            while lo < len(text):
+                cut = _CUT.search(text, lo + CHUNK) if len(text) - lo > CHUNK else None
+                hi = cut.start() if cut else len(text)
+                part.append((i, text[lo:hi]))
+                held += hi - lo
+                lo = hi
+                if held >= CHUNK:
+                    flush()
+        flush()
+        return [o[0] if len(o) == 1 else np.concatenate([np.zeros(0, self.dtype), *o]) for o in out]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -288,11 +400,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, en
         shard = TaskContext.get().partitionId()
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
-            for lo in range(0, len(texts), 256):
-                for i, ids in enumerate(enc.encode(texts[lo : lo + 256]), lo):
-                    out = out or Writer(folder, f"shard-{shard:06d}", enc.width)
-                    doc_id = pdf["doc_id"].iloc[i]
-                    out.add(None if pd.isna(doc_id) else doc_id, ids + end)
+            for doc_id, ids in zip(pdf["doc_id"].tolist(), enc.encode(texts), strict=True):
+                out = out or Writer(folder, f"shard-{shard:06d}", enc.width)
+                out.add(None if pd.isna(doc_id) else int(doc_id), ids.tobytes() + end)
         if out is not None:
             yield pd.DataFrame({"shard": [shard], "uri": [out.close()], "docs": [len(out.keys)], "tokens": [out.tokens]})
 

@@ -109,6 +109,22 @@ def test_tokens_match_the_library():
     assert got == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_in_small_chunks_and_other_vocabularies(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CHUNK", 40)
+    monkeypatch.setattr(tokens, "KEEP_WORDS", 50)
+    model, enc = Tokenizer.from_file(tokens.vocabulary_path()), tokens.Encoder(tokens.vocabulary_path())
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["it's", "x1", "don't'll", "a\n\nb", "'tis", "  ", "end.", "long" * 40, "12345", "\U0001e900"]) for _ in range(rng.randrange(80))) for _ in range(400)]
+    for _ in range(2):
+        assert [e.tolist() for e in enc.encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    other = tokens.Encoder(path)
+    assert not other.by_words
+    assert [e.tolist() for e in other.encode(texts[:50])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts[:50], add_special_tokens=False)]
+
+
 def test_token_shards(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
