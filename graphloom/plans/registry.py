@@ -350,13 +350,14 @@ query(
     + f""", s as (select id, degree, priority, node_type, {_HIT.format(t="customer")} as a, {_HIT.format(t="order")} as b from k)
     select id, round((a + b + ((a > 0)::int + (b > 0)::int) / 2.0::double) * priority::double * {_TYPE} + ln(1 + degree) * 0.05, 6) as score from s where a + b > 0""",
 )(_star(lambda kg: search.score_nodes(kg, search.question_terms(_QUESTION)).withColumn("score", F.round("score", 6))))
+_SEED_TYPE = "case when node_type in ('function', 'method') then 1.25 when node_type in ('struct', 'class') then 1.1 when node_type = 'module' then 0.45 when node_type = 'package' then 0.65 else 1.0 end::double"
 _SEED = "(case when lower(label) = '{t}' then 5.0 when contains(lower(label), '{t}') then 3.0 else 0 end + case when lower(id) = '{t}' then 4.0 when contains(lower(id), '{t}') then 2.5 else 0 end + case when contains(lower(source_file), '{t}') then 0.8 else 0 end)::double"
 query(
     "query_scores",
     G
     + f""", s as (select id, degree, priority, node_type, {_SEED.format(t="supplier")} as a from k)
-    select id, round(a * priority::double * {_TYPE} - ln(1 + degree) * 0.08, 6) as score from s where a > 0""",
-)(_star(lambda kg: search.query_scores(kg, ["supplier"]).where("score <> 0").select("id", F.round("score", 6).alias("score"))))
+    select id, round(a * priority::double * {_SEED_TYPE} - ln(1 + degree) * 0.08, 6) as score from s""",
+)(_star(lambda kg: search.query_scores(kg, ["supplier"]).select("id", F.round("score", 6).alias("score"))))
 _IDF = " union all ".join(
     f"select '{t}' as term, count(*) filter (contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{t}'))::bigint as df, count(*) as n from documents" for t in ("license", "password", "thing", "und")
 )
@@ -365,7 +366,28 @@ query("term_weights", f"select term, df, round(least(greatest(ln((greatest(n, 1)
 )
 
 
-@query("hybrid_search")
+_WORD_HIT = "greatest(case when lower(label) = '{t}' then 4.0 when contains(lower(label), '{t}') then 2.6 else 0 end, case when lower(id) = '{t}' then 3.2 when contains(lower(id), '{t}') then 2.0 else 0 end, case when contains(lower(source_file), '{t}') then 1.25 else 0 end, case when contains(lower(text), '{t}') then 0.55 else 0 end)::double"
+_PLACES = """select id, ('0x' || substr(md5(g), 1, 8))::bigint % 64 as place, sum(case when substr(md5(g), 9, 1) >= '8' then 1 else -1 end)::double as s
+    from (select id, unnest(list_concat([w], case when length(w) > 2 then list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)) else [] end)) as g from (select id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) as w from {t})) group by 1, 2"""
+_UNIT = "select id, place, (s / sqrt(sum(s * s) over (partition by id)))::float::double as x from ({p})"
+
+
+@query(
+    "hybrid_search",
+    G
+    + f""", idx as (select id, label || chr(10) || id || chr(10) || 'type: ' || node_type || chr(10) || 'file: ' || source_file as text from n),
+    v as ({_UNIT.format(p=_PLACES.format(t="idx"))}), ask as (select 'q' as id, '{_QUESTION}' as text), a as ({_UNIT.format(p=_PLACES.format(t="ask"))}),
+    dot as (select v.id, sum(v.x * a.x) as d from v join a on v.place = a.place group by 1), len as (select id, sqrt(sum(x * x)) as l from v group by 1), qlen as (select sqrt(sum(x * x)) as ql from a),
+    w as (select least(greatest(ln((count(*) + 1.0::double) / (count(*) filter (contains(lower(text), 'customer')) + 1.0::double)), 0.25), 2.75) as w1, least(greatest(ln((count(*) + 1.0::double) / (count(*) filter (contains(lower(text), 'order')) + 1.0::double)), 0.25), 2.75) as w2 from idx),
+    kx as (select k.*, idx.text from k join idx on k.id = idx.id),
+    r as (select kx.id, label, source_file, node_type, degree, priority, coalesce(d / (l * ql), 0.0::double) as sem, w1, w2, {_WORD_HIT.format(t="customer")} as h1, {_WORD_HIT.format(t="order")} as h2,
+      (w1 >= 1 and (contains(lower(label), 'customer') or contains(lower(id), 'customer'))) or (w2 >= 1 and (contains(lower(label), 'order') or contains(lower(id), 'order'))) as exact
+      from kx join (select id as i, l from len) on i = kx.id left join (select id as j, d from dot) on j = kx.id cross join qlen cross join w),
+    m as (select *, least(5.0::double, (h1 * w1 + h2 * w2) / (w1 + w2) + (case when h1 > 0 then w1 else 0 end + case when h2 > 0 then w2 else 0 end) / (w1 + w2) * 1.2) as lex,
+      priority::double * (case when source_file like 'docs/%' then 0.68 else 1.0 end)::double * (case when not exact and (source_file like '%/tests/%' or source_file like '%\\_test.go' escape '\\' or lower(label) like 'test%' or contains(lower(label), 'mock')) then 0.58 else 1.0 end)::double as f from r)
+    select id as node_id, label, source_file, round((sem * 0.36::double + lex * 0.60::double + ln(1 + degree) * 0.015::double) * least(greatest(case when exact then greatest(f, 0.72::double) else f end, 0.03::double), 2.5::double), 6) as score,
+      round(sem, 6) as semantic_score, round(lex, 6) as lexical_score from m where score > 0 order by score desc, node_id limit 20""",
+)
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     kg = star(spark, sf)
     index = embed.encode_text(search.index_text(kg.nodes))
@@ -373,11 +395,22 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.hybrid(kg, index, _QUESTION, list(vector), 20)
 
 
+query(
+    "lexical_seeds",
+    G
+    + f""", s as (select id, degree, priority, node_type, {_HIT.format(t="supplier")} as a, {_SEED.format(t="supplier")} as b from k),
+    r as (select id, node_type, round((a + 1) * priority::double * {_TYPE} + ln(1 + degree) * 0.05, 9) as rank, b * priority::double * {_SEED_TYPE} - ln(1 + degree) * 0.08 as score from s where a > 0)
+    select id, rank from r where score > 0 or node_type not in ('file', 'module', 'package') order by rank desc, id limit 6""",
+)(_star(lambda kg: search.lexical_seeds(kg, ["supplier"])))
+
+
 @query("query_graph")
 def query_graph(spark: SparkSession, sf: str) -> DataFrame:
     from graphloom.tools import Tools
 
-    found = Tools(star(spark, sf)).query_graph(_QUESTION, 800)
+    kg = star(spark, sf)
+    encoder = lambda text: list(embed.encode_text(spark.createDataFrame([(text,)], "text string")).first()["embedding"])
+    found = Tools(kg, embed.encode_text(search.index_text(kg.nodes)), encoder).query_graph(_QUESTION, 800)
     return spark.createDataFrame([(i, n) for i, n in enumerate(found["nodes"])], "place int, id string")
 
 

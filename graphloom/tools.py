@@ -25,20 +25,24 @@ class Tools:
 
     def query_graph(self, question: str, budget: int = 2000) -> dict:
         terms = search.question_terms(question)
-        lexical = [r["id"] for r in search.score_nodes(self.kg, terms, 6).collect()]
+        lexical = [r["id"] for r in search.lexical_seeds(self.kg, terms).collect()]
         warning, more = None, []
         try:
-            more = [r["node_id"] for r in self.semantic_query(question, 8)] if self.index is not None else []
+            if self.index is not None:
+                more = [r["node_id"] for r in search.semantic_seeds(self.kg, self._matches(question, 8), question, terms).collect()]
         except ValueError as e:
             warning = str(e)
         seeds = list(dict.fromkeys([*lexical, *more]))[:8]
         context = T.bounded_context(self.kg, seeds, search.query_scores(self.kg, terms).select("id", "score"), budget)
         return {"seeds": seeds, **context, **({"warning": warning} if warning else {})}
 
-    def semantic_query(self, question: str, top_n: int = 8) -> list[dict]:
+    def _matches(self, question: str, top_n: int) -> DataFrame:
         if self.index is None or self.encoder is None:
             raise ValueError("no semantic index: build one with operators.search.index_text and operators.embed.encode_text")
-        return _rows(search.hybrid(self.kg, self.index, question, self.encoder(question), top_n))
+        return search.hybrid(self.kg, self.index, question, self.encoder(question), top_n)
+
+    def semantic_query(self, question: str, top_n: int = 8) -> list[dict]:
+        return _rows(self._matches(question, top_n))
 
     def get_node(self, node_id: str) -> list[dict]:
         return _rows(A.get_node(self.kg, node_id))
