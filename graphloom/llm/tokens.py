@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.batches import bound
 from graphloom.llm.files import NewFile, Ranges
+from graphloom.llm.words import Known, code_points, hashes
 from graphloom.workspace import new_path, written
 
 MAGIC, FOOTER = b"LOOMSST1", "<QQQQQQIB8s"
@@ -165,10 +166,9 @@ class Table:
         return next((self.ids(raw) for k, raw in self._block(i) if k == key), None) if i < len(self.index) else None
 
 
-CHUNK, KEEP_WORDS, LONG_WORD = 1 << 20, 1_500_000, 64
+CHUNK, KEEP_WORDS = 1 << 20, 1_500_000
 OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 _CUT = re.compile(r"(?<=\S)[ \n\t]|(?<=[^\W\d_])(?=[^\w\s'])|(?<=[^\W\d_])(?=[0-9])")
-_MULT = 0x9E3779B97F4A7C15
 
 
 def _class_of(cp: int, data) -> int:
@@ -204,21 +204,6 @@ def _letters(words: list[str]) -> list[str]:
     return "\n".join(words).encode().decode("latin-1").translate(_BYTES | {10: 10}).split("\n")
 
 
-class Powers:
-    """Powers of an odd number modulo 2**64 and of its inverse."""
-
-    def __init__(self) -> None:
-        self.n, self.up, self.down = 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if n > self.n:
-            self.n = max(n, CHUNK)
-            for name, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
-                x = np.full(self.n, base, dtype=np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-
-
 def starts_of_words(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where the pre-tokenizer of byte-level BPE starts a word. ``first``: flags of the texts' beginnings.
 
@@ -250,8 +235,7 @@ class Encoder:
     the library's model encodes those that are new, and the ids of a text are
     gathered from what it said. Tokenizers with another pre-tokenizer, texts
     with added tokens and texts with letters of newer versions of Unicode are
-    left to the library as they are. Words beyond ``LONG_WORD`` letters have a
-    hash of their own, so the arithmetic one is asked for short words only.
+    left to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -269,12 +253,11 @@ class Encoder:
             spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
             and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         )
-        self.kinds, self.powers = classes() if self.by_words else None, Powers()
+        self.kinds = classes() if self.by_words else None
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.offset, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.offset, self.count = Known(), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
 
     def raw(self, ids: list[int]) -> bytes:
@@ -283,58 +266,34 @@ class Encoder:
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Has the library's model encode new words, which it wants in the letters that stand for bytes."""
         said = list(map(self.words, _letters(words)))
         size = np.fromiter(map(len, said), dtype=np.int64, count=len(said))
-        ids = [t.id for found in said for t in found]
-        n = len(self.offset)
         self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(size) - size])
         self.count = np.concatenate([self.count, size])
-        self.flat = np.concatenate([self.flat, np.array(ids, dtype=self.dtype)])
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, at, keys[order])
-        self.places = np.insert(self.places, at, n + order)
+        self.flat = np.concatenate([self.flat, np.array([t.id for found in said for t in found], dtype=self.dtype)])
 
     def _encode_words(self, texts: list[str]) -> list[np.ndarray]:
         size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        cp = code_points(joined)
         n = len(cp)
         if not n:
             return [np.zeros(0, self.dtype)] * len(texts)
         kind = self.kinds[cp]
         if (kind == UNSURE).any() or any(a in joined for a in self.added):
-            odd = [any(a in t for a in self.added) or bool((self.kinds[np.frombuffer(t.encode("utf-32-le"), dtype="<u4")] == UNSURE).any()) for t in texts]
+            odd = [any(a in t for a in self.added) or bool((self.kinds[code_points(t)] == UNSURE).any()) for t in texts]
             one, other = iter(self.library([t for t, o in zip(texts, odd, strict=True) if o])), iter(self._encode_words([t for t, o in zip(texts, odd, strict=True) if not o]))
             return [next(one if o else other) for o in odd]
         first = np.zeros(n, dtype=bool)
         end = np.cumsum(size)
         first[(end - size)[size > 0]] = True
         at = np.flatnonzero(starts_of_words(cp, kind, first))
-        self.powers.grow(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * self.powers.up[:n], out=total[1:])
         stop = np.append(at[1:], n)
-        h = (total[stop] - total[at]) * self.powers.down[at]
-        h ^= h >> np.uint64(32)
-        for i in np.flatnonzero(stop - at > LONG_WORD).tolist():
-            h[i] = xxhash.xxh64_intdigest(joined[at[i] : stop[i]].encode(), 1)
-        code, keys = pd.factorize(h)
-        rising = np.argsort(keys)
-        place = np.empty(len(keys), dtype=np.int64)
-        place[rising] = np.searchsorted(self.keys, keys[rising])
-        known = np.zeros(len(keys), dtype=bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        if not known.all():
-            example = np.empty(len(keys), dtype=np.int64)
-            example[code[::-1]] = np.arange(len(code))[::-1]
-            new = np.flatnonzero(~known)
-            self._learn(keys[new], [joined[a:b] for a, b in zip(at[example[new]].tolist(), stop[example[new]].tolist(), strict=True)])
-            place[rising] = np.searchsorted(self.keys, keys[rising])
-        word = self.places[place][code]
+        word, new = self.known.numbers(hashes(cp, at, stop))
+        if len(new):
+            self._learn([joined[a:b] for a, b in zip(at[new].tolist(), stop[new].tolist(), strict=True)])
         count = self.count[word]
         upto = np.cumsum(count)
         ids = self.flat[np.repeat(self.offset[word] - (upto - count), count) + np.arange(upto[-1])]
@@ -352,7 +311,7 @@ class Encoder:
 
         def flush() -> None:
             nonlocal part, held
-            if len(self.keys) > KEEP_WORDS:
+            if len(self.known) > KEEP_WORDS:
                 self.forget()
             for (i, _), ids in zip(part, self._encode_words([t for _, t in part]), strict=True):
                 out[i].append(ids)

@@ -189,6 +189,32 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [[np.log(brute("▁" + w, k)) for k in range(2)] for w in ws])
 
 
+def test_sums_of_long_words_and_expected_pieces():
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+    lattice = langid.Lattice(pieces)
+    p = np.array([[1e-7, 2e-3, 1e-5, 0.3, 1e-6, 4e-4, 1e-7, 1e-6], [0.1, 0.2, 0.3, 0.1, 0.1, 0.1, 0.05, 0.05]])
+    known = {q: i for i, q in enumerate(sorted(pieces))}
+
+    def logs(w, k):
+        s, al = "▁" + w, [0.0]
+        for e in range(1, len(s) + 1):
+            v = [al[e - n] + np.log(p[k][known.get(s[e - n : e], lattice.n)]) for n in range(1, min(4, e) + 1) if s[e - n : e] in known or n == 1]
+            al.append(np.logaddexp.reduce(v))
+        return al[-1]
+
+    ws = ["ab", "ab" * 300, "x" * 500, "abba" * 11, "a"]
+    assert np.allclose(langid.forward(lattice, p, ws)[0], [[logs(w, k) for k in range(2)] for w in ws])
+    used = langid._expected(lattice, p[1], ["ab" * 300], np.ones(1))
+    assert sum(n * len(q) for n, q in zip(used, sorted(pieces), strict=False)) + used[-1] == pytest.approx(601)  # every letter once
+
+
+def test_letters_make_words():
+    assert langid.words_of("Über²½① it's 中文 x_y" + "z" * 100) == ["über", "it", "s", "中文", "x", "y" + "z" * 100]
+    assert langid.words_of("² ½ ① 12 !?") == langid.words_of(None) == []
+    scorer = langid.Scorer(langid.vocabulary_path(), ["a", "b"], np.full((2, langid.Lattice(langid.pieces_of(langid.vocabulary_path())).n + 1), 1e-4))
+    assert [x[0] for x in scorer.score(["²½①", "", None, "word", "word"])] == ["und", "und", "und", "a", "a"]
+
+
 def test_language_id(spark, odd, empty):
     vocab = {"en": "the and of water house walking under light", "fr": "le et de eau maison marcher sous lumière", "de": "der und von wasser haus gehen unter licht"}
     rng = random.Random(1)
