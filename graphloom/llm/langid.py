@@ -349,7 +349,8 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, vocabulary: str | None = No
                 found = Counter()
                 for text in texts:
                     found.update(words_of(text))
-                yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())})
 
     counted = chosen.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # words of the bounded sample
@@ -359,15 +360,15 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, vocabulary: str | None = No
     return fit(counts, Lattice(pieces_of(path)))
 
 
-def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str | None = None, keep=()) -> DataFrame:
-    """``docs`` with lang_pred and score; columns in ``keep`` come along."""
+def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str | None = None, keep=(), names=("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score under ``names``; columns in ``keep`` come along."""
     spark = docs.sparkSession
     bound(spark)
     model = spark.sparkContext.broadcast((langs, p.astype(np.float32)))  # languages x pieces, both bounded
     fields = [f for f in docs.schema.fields if f.name in keep]
     from pyspark.sql import types as T
 
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     name = f"{id(model)}-{model._jbroadcast.id() if model._jbroadcast is not None else 0}"
 
     def run(batches):
@@ -379,10 +380,10 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str |
         for pdf in batches:
             got = scorer.score(pdf["text"].tolist())
             out = pdf[[f.name for f in fields]].copy()
-            out["lang_pred"], out["score"] = [g[0] for g in got], [g[1] for g in got]
+            out[names[0]], out[names[1]] = [g[0] for g in got], [g[1] for g in got]
             yield out
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]).mapInPandas(run, schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

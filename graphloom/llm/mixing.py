@@ -56,7 +56,8 @@ def mix(docs: DataFrame, size_col=None, weights=WEIGHTS, budget=BUDGET, max_epoc
         "source",
         (size_of() if size_col is None else size_col).alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("key"),
-        *([F.struct(*[F.col(c) for c in keep]).alias("kept")] if keep else []),
+        F.xxhash64("text").alias("tie"),
+        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []),
     ).withColumn("bin", F.substring("key", 1, bins_hex))
     base = base.repartition(*spread)
     by_bin = base.groupBy(*spread).agg(F.sum("size").alias("bin_size"))
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, size_col=None, weights=WEIGHTS, budget=BUDGET, max_epoc
     bins = bins.join(g, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("s"), F.col("bin").alias("b"), "before", "source_size", "target"
     )
-    inside = W.partitionBy(*spread).orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*spread).orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
         base.withColumn("upto", F.sum("size").over(inside))
@@ -84,7 +85,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row as often as it is taken, columns as they came."""
     columns = docs.columns
     rows = mix(docs, keep=columns, **options)
-    return rows.where("repeats > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[F.col("kept")[c].alias(c) for c in columns])
+    return rows.where("repeats > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[F.col("kept").getField(c).alias(c) for c in columns])
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ size descending, then doc_id, so reruns agree.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.mixing import size_of
@@ -117,11 +117,11 @@ def cluster_of(text: str = "text"):
     return F.xxhash64(F.lower(F.regexp_replace(F.trim(F.col(text)), r"\s+", " ")))
 
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """``docs(doc_id, source, text[, cluster])`` → a row for each piece with its bin."""
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, cluster: Column | None = None) -> DataFrame:
+    """``docs(doc_id, source, text)`` → a row for each piece with its bin. ``cluster``: whole numbers of duplicate clusters."""
     n = docs.count()
     shards = max(1, -(-n // shard_docs))
-    cluster = F.col("cluster").cast("long") if "cluster" in docs.columns else F.when(F.col("text").isNotNull(), cluster_of())
+    cluster = F.when(F.col("text").isNotNull(), cluster_of()) if cluster is None else cluster.cast("long")
     light = docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"), cluster.alias("cluster"), size_of().alias("size"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).alias("shard")
     )
