@@ -2,9 +2,10 @@
 
 Every round lowers parents over edges, lowers the parents' parents and halves
 the paths, so the rounds grow with the logarithm of the component's size. All
-reductions are ``min`` aggregates, which combine before the shuffle, and the
-lookups are plain equi-joins that AQE can split, so a component that holds a
-third of all nodes does not land in one task.
+reductions are ``min`` aggregates, which combine before the shuffle. Lookups of
+a parent that more than a thousandth of all nodes have, or of a node that so
+many edges meet, are answered by a broadcast of those at most ``HOT`` rows; so a
+component that holds a third of all nodes does not land in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,16 @@ from pyspark.sql import functions as F
 from graphloom.workspace import cut
 
 
+HOT = 1000
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has each key once; ``hot`` has ``HOT`` keys at the most."""
+    few = F.broadcast(hot)
+    by_broadcast = rows.join(F.broadcast(table.join(few, key, "left_semi")), key)
+    return by_broadcast.unionByName(rows.join(few, key, "left_anti").join(table, key))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``edges(src, dst)`` of any ordered type → ``(node, component)``, component = least node.
 
@@ -26,15 +37,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         return sym.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     parents = cut(sym.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("parent")))
     state = F.bit_xor(F.xxhash64("node", "parent"))
-    was = parents.agg(state).first()[0]
+    was, nodes = parents.agg(state, F.count(F.lit(1))).first()
+    often = cut(sym.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > sym.count() / HOT).select("dst"))
     for _ in range(max_rounds):
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        seen = parents.join(up, "parent").select("node", "parent", "grand")
-        low = (
-            sym.join(seen.select(F.col("node").alias("dst"), "grand"), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("grand").alias("low"))
-        )
+        hot = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > nodes / HOT).select("parent")
+        seen = _looked_up(parents, up, "parent", hot).select("node", "parent", "grand")
+        far = _looked_up(sym, seen.select(F.col("node").alias("dst"), "grand"), "dst", often)
+        low = far.groupBy(F.col("src").alias("node")).agg(F.min("grand").alias("low"))
         offers = seen.join(low, "node").select(
             F.explode(
                 F.array(
