@@ -1,20 +1,31 @@
-"""Main text of pages through wrappers inferred for each template of a host.
+"""Main text of pages through wrappers inferred for each host.
 
 A wrapper is a union-free regular expression over the pages' tokens: elements
 with ordered children, where a child may be optional (``?``) or repeated (``+``)
 and text is a slot. A page's token stream is folded first (a child that stands
 several times in a row is a repetition), then aligned with the wrapper so far:
 children that match are merged, the rest become optional. Each task aligns the
-pages that it sees, a task for each host aligns the tasks' wrappers, so every
-page counts and a host with a third of all pages costs one row for each task.
-
-A host's pages have one template if their text is held by the same kind of main
-element (or, without one, by the same path); each template has its own wrapper,
-so no template decides for another. From the kinds and class words of a
-wrapper's elements and how much text and text in links its slots have follows
-which element paths hold the article; paths are then looked up while a page is
-read. The extraction is rule-based: repetition and sameness of slots are kept in
-the wrapper but decide nothing. A page of which nothing would be left goes by its own elements.
+pages that it sees; partial wrappers are aligned by host and salt, then by host,
+so every page counts and a host with a third of all pages meets no single task.
+
+The wrapper decides what is the article:
+
+* Slots with one text on all pages are template and weigh nothing. From the root
+  down, the main element is the child that holds most of the varying text
+  outside links, or several such children that exclude each other on the host's
+  pages (templates side by side). Repeated groups, and elements with headings or
+  paragraphs of their own, are not entered further.
+* Inside it, lists of links go, by the links of all pages. A block that stands
+  word for word at one path on half of the host's different pages (three at
+  least; pages with one long text are one page) is template and goes.
+* Kinds of elements that are never an article (navigation, forms, scripts,
+  hidden ones) go. Words in classes only break ties: such an element goes if the
+  wrapper has it as optional, repeated or small beside the main element; reader
+  comments always go.
+
+A host with fewer than ``ENOUGH`` pages has nothing to align, and a page that has
+none of its host's main elements goes by its own elements: article, main, class
+words, then text. Elements deeper than ``DEPTH`` count as parts of the one above.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs
 to the host ""; unclosed and stray tags are mended like browsers do; repeated
@@ -27,9 +38,12 @@ import html as _html
 import json
 import re
 import zlib
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +51,9 @@ from graphloom.llm.batches import bound
 from graphloom.workspace import written
 
 BROADCAST_BYTES = 16_000_000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+ENOUGH, DEPTH, HOLD, SMALL, LONG, SALTS = 3, 64, 0.7, 0.15, 100, 64
+#: A tag ends at ``>``; one that is never closed ends at the next ``<``, so it costs its own length only.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*(?:>|(?=<)|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|[\"']|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -57,6 +73,8 @@ BOILER_WORDS = frozenset(
     "respond discussion disqus share sharing social related recommended recommendations more-stories outbrain taboola pagination pager skip toolbar search copyright legal disclaimer paywall hidden".split()
 )
 BOILER_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MAIN_WORDS = frozenset("article content main post entry story body text article-body post-content entry-content main-content".split())
 
 
@@ -74,24 +92,41 @@ def signature(tag: str, attrs: str) -> str:
     return tag + "".join(f".{w}" for w in words) + (f"@{found['role'].lower()}" if found.get("role") else "") + ("!" if hidden else "")
 
 
+def _words(sig: str) -> list[str]:
+    return [w for c in sig.partition("@")[0].rstrip("!").split(".")[1:] for w in (c, *re.split(r"[-_#]+", c))]
+
+
+def is_furniture(sig: str) -> bool:
+    """By the element's kind or role, or because it is hidden."""
+    return _tag(sig) in BOILER_TAGS or sig.endswith("!") or sig.partition("@")[2].rstrip("!") in BOILER_ROLES
+
+
 def is_boilerplate(sig: str) -> bool:
     """By the element's kind, role or words in its class and id."""
-    tag = re.split(r"[.@!]", sig, maxsplit=1)[0]
-    if tag in BOILER_TAGS or sig.endswith("!"):
+    if is_furniture(sig):
         return True
-    role = sig.partition("@")[2].rstrip("!")
-    if role in BOILER_ROLES:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    words = [w for c in sig.partition("@")[0].rstrip("!").split(".")[1:] for w in (c, *re.split(r"[-_#]+", c))]
-    return any(w in BOILER_WORDS for w in words)
+    return _tag(sig) not in ("html", "body", "article", "main") and any(w in BOILER_WORDS for w in _words(sig))
+
+
+def _tag(sig: str) -> str:
+    return re.split(r"[.@!]", sig, maxsplit=1)[0]
+
+
+_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 def events(page: str):
-    """``(kind, value)``: open or close with a signature, text, or a break between blocks."""
+    """``(kind, value)``: open or close with a signature, text, a link's begin or end, or a break between blocks."""
     stack: list[tuple[str, str]] = []
-    at, n, low = 0, len(page), None
+    open_tags: Counter[str] = Counter()
+    at, n = 0, len(page)
+
+    def shut_to(size: int):
+        while len(stack) > size:
+            tag, sig = stack.pop()
+            open_tags[tag] -= 1
+            yield "close", sig
+
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -108,12 +143,11 @@ def events(page: str):
             yield ("link" if tag == "a" else "inline"), m[1]
             continue
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, sig = stack.pop()
-                    yield "close", sig
-                    if t == tag:
-                        break
+            if open_tags[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                yield from shut_to(k)
             elif tag == "p":
                 yield "break", ""
             continue
@@ -121,27 +155,25 @@ def events(page: str):
             yield "break", ""
             continue
         shut = CLOSES.get(tag, set()) | ({"p"} if tag in PARAGRAPH_ENDS else set())
-        if shut:
+        if any(open_tags[t] > 0 for t in shut):
             stop, k = SCOPE.get(tag, SECTION), len(stack)
             while k and stack[k - 1][0] not in stop:
                 k -= 1
             inner = next((i for i in range(k, len(stack)) if stack[i][0] in shut), None)
-            while inner is not None and len(stack) > inner:
-                yield "close", stack.pop()[1]
+            if inner is not None:
+                yield from shut_to(inner)
         sig = signature(tag, m[3])
         if tag in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{tag}", at)
-            end = n if end < 0 else end
-            close = page.find(">", end)
+            end = _ENDS[tag].search(page, at)
+            close = page.find(">", end.end()) if end else -1
             at = n if close < 0 else close + 1
             yield "open", sig
             yield "close", sig
             continue
         stack.append((tag, sig))
+        open_tags[tag] += 1
         yield "open", sig
-    while stack:
-        yield "close", stack.pop()[1]
+    yield from shut_to(0)
 
 
 def clean(raw: str) -> str:
@@ -197,18 +229,26 @@ def refold(children: list) -> list:
     return out
 
 
-def fold(page: str) -> list:
-    """The tree of a page, its repetitions folded."""
+def fold(found) -> list:
+    """The tree of a page's events, its repetitions folded."""
     root = _node("")
-    stack, link = [root], False
+    stack, link, below = [root], False, 0
     texts: list[list[str]] = [[]]
-    for kind, value in events(page):
+    for kind, value in found:
         if kind == "open":
+            if len(stack) > DEPTH:
+                below += 1
+                texts[-1].append(" ")
+                continue
             node = _node(value)
             stack[-1][1].append(node)
             stack.append(node)
             texts.append([])
         elif kind == "close":
+            if below:
+                below -= 1
+                texts[-1].append(" ")
+                continue
             node = stack.pop()
             whole = clean("".join(texts.pop()))
             node[2][2] = zlib.crc32(whole.encode("utf-8", "surrogatepass")) if whole else None
@@ -226,68 +266,100 @@ def fold(page: str) -> list:
     return root
 
 
-def _mass(node: list, own: bool = True) -> float:
-    """Letters outside links that may be text, below a node."""
-    if own and is_boilerplate(node[0]):
-        return 0.0
-    return node[2][0] - node[2][1] + sum(_mass(c) for c in node[1])
+def is_constant(n: list) -> bool:
+    """One text in all the pages that have the element."""
+    return n[5] >= ENOUGH and n[2][2] not in (None, -1)
 
 
-def _tag(n: list) -> str:
-    return re.split(r"[.@!]", n[0], maxsplit=1)[0]
+def _mass(node: list, skip) -> float:
+    """Varying letters outside links below a node."""
+    if skip(node[0]):
+        return 0.0
+    own = 0 if is_constant(node) else node[2][0] - node[2][1]
+    return own + sum(_mass(c, skip) for c in node[1])
+
+
+def main_elements(n: list) -> list[list]:
+    """The smallest elements of a wrapper that hold most of the varying text, one for each template."""
+    while True:
+        total = _mass(n, is_furniture)
+        if total <= 0 or _tag(n[0]) == "article" or any(_tag(c[0]) in HEADINGS and _mass(c, is_furniture) > 0 for c in n[1]):
+            return [n]
+        inside = sorted(((_mass(c, is_furniture), c) for c in n[1] if _tag(c[0]) in SECTION and c[4] == 1), key=lambda x: -x[0])
+        chosen, pages, held = [], 0, 0.0
+        for mass, c in inside:
+            if mass / c[5] >= HOLD * total / n[5] and pages + c[5] <= 1.02 * n[5]:
+                chosen.append(c)
+                pages, held = pages + c[5], held + mass
+        if held < HOLD * total:
+            return [n]
+        if len(chosen) > 1:
+            return [m for c in chosen for m in main_elements(c)]
+        n = chosen[0]
 
 
 MAINS = (
-    lambda n: _tag(n) == "article",
-    lambda n: _tag(n) == "main" or n[0].partition("@")[2].rstrip("!") in ("main", "article"),
-    lambda n: _tag(n) in ("div", "section", "td") and any(c in MAIN_WORDS for c in n[0].partition("@")[0].split(".")[1:]),
+    lambda n: _tag(n[0]) == "article",
+    lambda n: _tag(n[0]) == "main" or n[0].partition("@")[2].rstrip("!") in ("main", "article"),
+    lambda n: _tag(n[0]) in ("div", "section", "td") and any(c in MAIN_WORDS for c in n[0].partition("@")[0].split(".")[1:]),
 )
 
 
-def _mains(root: list) -> tuple[str, list[list]]:
-    """The template of a tree, by what holds its text, and the nodes that do."""
+def main_elements_alone(root: list) -> list[list]:
+    """The main elements of a tree by their kind and words, where there is nothing to align."""
 
     def look(n: list, wanted) -> list[list]:
         if is_boilerplate(n[0]):
             return []
         return [n] if wanted(n) else [m for c in n[1] for m in look(c, wanted)]
 
-    total = _mass(root)
-    for kind, wanted in enumerate(MAINS):
-        mains = look(root, wanted)
-        if mains and sum(_mass(n, False) for n in mains) >= 0.25 * total:
-            return str(kind), mains
-    n, path = root, ""
+    total = _mass(root, is_boilerplate)
+    for wanted in MAINS:
+        found = look(root, wanted)
+        if found and sum(sum(_mass(c, is_boilerplate) for c in n[1]) + n[2][0] - n[2][1] for n in found) >= 0.25 * total:
+            return found
+    n = root
     while True:  # down to the smallest element that holds most of the text
-        best = max(n[1], key=_mass, default=None)
-        if best is None or _tag(best) not in SECTION or _mass(best) < 0.7 * _mass(n, False):
-            return path or "/", [n]
-        n, path = best, f"{path}/{best[0]}"
+        best = max(n[1], key=lambda c: _mass(c, is_boilerplate), default=None)
+        if best is None or _tag(best[0]) not in SECTION or _mass(best, is_boilerplate) < HOLD * _mass(n, lambda sig: is_boilerplate(sig) and sig != n[0]):  # noqa: B023
+            return [n]
+        n = best
 
 
-def rules(root: list) -> dict[str, bool]:
-    """Which element paths hold text of the article."""
+def rules(root: list, alone: bool = False) -> dict[str, bool]:
+    """Which element paths hold text of the article; paths outside the main elements are left out."""
+    alone = alone or max((c[5] for c in root[1]), default=0) < ENOUGH
     found: dict[str, bool] = {}
-    tag = _tag
-    mains = {id(n) for n in _mains(root)[1]}
-
-    def walk(n: list, path: str, inside: bool) -> None:
+    mains = {id(n): _mass(n, is_furniture) / n[5] for n in (main_elements_alone(root) if alone else main_elements(root))}
+
+    def goes(n: list, up: list, weight: float) -> bool:
+        """Whether an element inside a main element is no part of the article."""
+        tag = _tag(n[0])
+        if tag == "header" and not n[0].partition("@")[2]:
+            return False  # an article's own heading
+        if is_furniture(n[0]) or (not alone and is_constant(n) and not n[1]):
+            return True
+        letters, links = _sums(n)
+        if tag in ("ul", "ol", "div", "section", "table") and letters and links > 0.8 * letters:
+            return True
+        if not is_boilerplate(n[0]):
+            return False
+        small = _mass(n, is_furniture) / n[5] < SMALL * weight
+        return alone or small or n[3] == 0 or n[4] > 1 or n[5] < up[5] or any(w in COMMENT_WORDS for w in _words(n[0]))
+
+    def walk(n: list, up: list | None, path: str, weight: float | None) -> None:
         here = f"{path}/{n[0]}" if n[0] else path
-        inside = inside or id(n) in mains
-        keep = inside and not is_boilerplate(n[0])
-        if inside and tag(n) == "header" and not n[0].partition("@")[2]:
-            keep = True  # an article's own heading
-        if keep and tag(n) in ("ul", "ol", "div", "section", "table"):
-            letters, links = _sums(n)
-            keep = not (links > 0.8 * letters and letters > 0)  # a list of links
-        if not keep and inside:
-            found[here] = found.get(here, False)
-            return
-        found[here] = found.get(here, False) or keep
+        main = id(n) in mains
+        weight = mains[id(n)] if main else weight
+        if weight is not None:
+            keep = main or not goes(n, up, weight)
+            found[here] = found.get(here, False) or keep
+            if not keep:
+                return
         for c in n[1]:
-            walk(c, here, inside)
+            walk(c, n, here, weight)
 
-    walk(root, "", False)
+    walk(root, None, "", None)
     return found
 
 
@@ -299,88 +371,147 @@ def _sums(n: list) -> tuple[int, int]:
     return a, b
 
 
-def extract(page: str | None, keep: dict[str, bool]) -> str:
-    """The article's text. ``keep``: element paths; unknown paths follow their parents."""
-    if not page:
-        return ""
-    stack = [("", keep.get("", False))]
-    blocks: list[str] = []
-    now: list[str] = []
-
-    def end() -> None:
-        if now and (t := clean("".join(now))):
-            blocks.append(t)
-        now.clear()
-
-    for kind, value in events(page):
+def blocks(found):
+    """``(path, signature, text)`` of a page's blocks, in order, and ``(path, signature, None)`` where an element opens or closes."""
+    paths, below, now = [("", "")], 0, []
+    for kind, value in found:
         if kind == "text":
-            if stack[-1][1]:
-                now.append(value)
-        elif kind == "open":
-            end()
-            path = f"{stack[-1][0]}/{value}"
-            stack.append((path, keep.get(path, stack[-1][1] and not is_boilerplate(value))))
+            now.append(value)
+            continue
+        if kind in ("link", "inline"):
+            continue
+        if now:
+            if t := clean("".join(now)):
+                yield (*paths[-1], t)
+            now = []
+        if kind == "open":
+            if len(paths) > DEPTH:
+                below += 1
+                continue
+            paths.append((f"{paths[-1][0]}/{value}", value))
+            yield (*paths[-1], None)
         elif kind == "close":
-            end()
-            stack.pop()
-        elif kind == "break":
-            end()
-    end()
-    return " ".join(blocks)
+            if below:
+                below -= 1
+                continue
+            paths.pop()
+    if t := clean("".join(now)):
+        yield (*paths[-1], t)
+
+
+def block_key(path: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) >> 1
+
 
+def path_key(path: str) -> int:
+    return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass")) >> 1
 
-def _join(trees: dict[str, list], more: dict[str, list]) -> None:
-    for template, tree in more.items():
-        trees[template] = merge(trees[template], tree) if template in trees else tree
+
+def extract(found, keep: dict[str, bool], template=frozenset()) -> str | None:
+    """The article's text; None if the page has no main element. ``keep``: paths; unknown ones follow their parents.
+
+    ``template``: keys of blocks that don't count.
+    """
+    known: dict[str, bool | None] = {"": keep.get("")}
+    out, some = [], known[""] is not None
+    for path, sig, text in found:
+        if text is None:
+            if path not in known:
+                up = known[path[: len(path) - len(sig) - 1]]
+                known[path] = keep.get(path, None if up is None else up and not is_boilerplate(sig))
+            some = some or known[path] is not None
+        elif known[path] and block_key(path, text) not in template:
+            out.append(text)
+    return " ".join(out) if some else None
+
+
+def main_text_of(page: str | None, keep: dict[str, bool], template=frozenset()) -> str:
+    if not page:
+        return ""
+    found = list(events(page))
+    text = extract(blocks(found), keep, template)
+    return extract(blocks(found), rules(fold(found), alone=True)) or "" if text is None else text
+
+
+TOLD = "kind int, host string, salt int, wrapper string, path long, block long, page long"
+
+
+def told_by(batches):
+    """Of a task's pages: a wrapper for each host (kind 0), and where blocks of text stand (kind 1)."""
+    trees: dict[str, list] = {}
+    salt = TaskContext.get().partitionId() % SALTS
+    for pdf in batches:
+        rows: dict[tuple, None] = {}
+        for host, page in zip(pdf["host"], pdf["html"], strict=True):
+            if not page:
+                continue
+            found = list(events(page))
+            tree = fold(found)
+            trees[host] = merge(trees[host], tree) if host in trees else tree
+            texts = [(path, t) for path, sig, t in blocks(found) if t is not None]
+            long = [t for _, t in texts if len(t) >= LONG] or [t for _, t in texts]
+            of = block_key("", "\0".join(long))
+            for path, t in texts:
+                rows[host, path_key(path), block_key(path, t), of] = None
+        if rows:
+            out = pd.DataFrame(list(rows), columns=["host", "path", "block", "page"])
+            yield out.assign(kind=1, salt=salt, wrapper=None)[["kind", "host", "salt", "wrapper", "path", "block", "page"]]
+    if trees:
+        some = [json.dumps(w, separators=(",", ":")) for w in trees.values()]
+        yield pd.DataFrame({"kind": 0, "host": list(trees), "salt": salt, "wrapper": some, "path": 0, "block": 0, "page": 0})
+
+
+def _aligned(pdf: pd.DataFrame) -> list:
+    tree = None
+    for w in sorted(pdf["wrapper"]):
+        tree = json.loads(w) if tree is None else merge(tree, json.loads(w))
+    return tree
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper)``: the wrappers of each host's templates as JSON."""
+    """``(host, rules, template)``: paths of each host's wrapper as JSON, and the keys of its template blocks."""
 
-    def here(batches):
-        found: dict[str, dict[str, list]] = {}
-        for pdf in batches:
-            for host, page in zip(pdf["host"], pdf["html"], strict=True):
-                if page:
-                    _join(found.setdefault(host, {}), {_mains(tree := fold(page))[0]: tree})
-        if found:
-            yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w, separators=(",", ":")) for w in found.values()]})
-
-    def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        trees: dict[str, list] = {}
-        for w in sorted(pdf["wrapper"]):
-            _join(trees, json.loads(w))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(trees, separators=(",", ":"))]})
+    def by_salt(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(_aligned(pdf), separators=(",", ":"))]})
+
+    def by_host(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "rules": [json.dumps(rules(_aligned(pdf)), separators=(",", ":"))]})
 
     bound(pages.sparkSession)
-    told = pages.select(host_of().alias("host"), "html").mapInPandas(here, "host string, wrapper string")
-    return written(told.groupBy("host").applyInPandas(together, "host string, wrapper string"), "wrappers")
+    told = written(pages.select(host_of().alias("host"), "html").mapInPandas(told_by, TOLD), "told", "zstd")
+    some = told.where("kind = 0").groupBy("host", "salt").applyInPandas(by_salt, "host string, wrapper string")
+    ruled = some.groupBy("host").applyInPandas(by_host, "host string, rules string")
+    stands = told.where("kind = 1").select("host", "path", "block", "page").distinct()
+    often = stands.groupBy("host", "path", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH)
+    pages_of = stands.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("all"))
+    fixed = often.join(pages_of, ["host", "path"]).where(F.col("n") * 2 >= F.col("all"))
+    listed = fixed.groupBy("host").agg(F.collect_list("block").alias("template"))  # at most two for each block of a page
+    return written(ruled.join(listed, "host", "left"), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)``."""
     known = wrappers(pages)
-    size = known.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
+    size = known.agg(F.sum(F.octet_length("rules") + 8 * F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of().alias("host"))
     rows = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
 
     def run(batches):
-        compiled: dict[str, dict[str, dict[str, bool]]] = {}
+        compiled: dict[str, tuple[dict[str, bool], frozenset]] = {}
         for pdf in batches:
             texts = []
-            for page, wrapper in zip(pdf["html"], pdf["wrapper"], strict=True):
-                if wrapper is None or not page:
+            for page, host, rule, template in zip(pdf["html"], pdf["host"], pdf["rules"], pdf["template"], strict=True):
+                if not page or not isinstance(rule, str):
                     texts.append("")
                     continue
-                if wrapper not in compiled:
+                if host not in compiled:
                     if len(compiled) > 256:
                         compiled.clear()
-                    compiled[wrapper] = {k: rules(t) for k, t in json.loads(wrapper).items()}
-                tree = fold(page)
-                texts.append(extract(page, compiled[wrapper][_mains(tree)[0]]) or extract(page, rules(tree)))
+                    compiled[host] = json.loads(rule), frozenset() if template is None else frozenset(int(x) for x in template)
+                texts.append(main_text_of(page, *compiled[host]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.select("page_id", "url", "html", "wrapper").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "rules", "template").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
