@@ -1,11 +1,13 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
 A logistic model over the words of a text and their beginnings (four to seven
-letters, so that inflected forms count together). Labelled texts that name a
-group get a counterfactual twin, in which each identity term is replaced by
-another; the loss adds ``FAIR`` times the squared change of the score between the
-twins, so that neutral mentions of a group don't raise it. Identity terms are
-always features, whether or not labels favour them.
+letters, so that inflected forms count together). Every labelled text gets a
+counterfactual twin: where it names a group, each identity term is replaced by
+another of its group; where it names none, a term is put into it, chosen by a
+checksum of the text. The loss adds ``FAIR`` times the squared change of the
+score between the twins, taken before the sigmoid, so that the mention of a
+group by itself moves no score. Identity terms and their beginnings are always features, whether or not
+labels favour them.
 
 Features are chosen on the same sample by how much their presence tells about
 the label; there are at most ``FEATURES`` of them. The fit uses about
@@ -20,6 +22,7 @@ scored alike; extra columns are not looked at.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.batches import bound
 
-FIT_DOCS, FEATURES, FAIR, RIDGE, CUT = 30_000, 4096, 4.0, 1e-3, 0.7
+FIT_DOCS, FEATURES, FAIR, RIDGE, CUT = 30_000, 4096, 1.0, 1e-3, 0.7
 LEAST_DOCS, LEAST_GAIN, PRUNE = 5, 8.0, 2
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -64,10 +67,11 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words of the counterfactual twin; None if no group is named."""
+def counterfactual(text: str | None, words: set[str]) -> set[str]:
+    """The words of a text's twin."""
     if words.isdisjoint(SWAP):
-        return None
+        terms = sorted(SWAP)
+        return words | {terms[zlib.crc32((text or "").encode("utf-8", "surrogatepass")) % len(terms)]}
     return {SWAP.get(w, w) for w in words}
 
 
@@ -85,46 +89,40 @@ def gain(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return 2 * (h(a, pos) + h(b, neg) - h(a + b, pos + neg))
 
 
-def fit(rows: list[tuple[int, list[int], list[int] | None]], n: int, ridge: float = RIDGE, fair: float = FAIR, rounds: int = 300) -> np.ndarray:
-    """Weights, the last of them the bias, by accelerated gradient descent on the mean loss."""
+def fit(rows: list[tuple[int, list[int], list[int], list[int]]], n: int, ridge: float = RIDGE, fair: float = FAIR, rounds: int = 300) -> np.ndarray:
+    """Weights, the last of them the bias, by accelerated gradient descent on the mean loss.
+
+    ``rows``: label, features, and the features that the twin has beyond them and lacks.
+    """
     y = np.array([r[0] for r in rows], dtype=float)
     idx = np.concatenate([np.array(r[1], dtype=np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    twins = [i for i, r in enumerate(rows) if r[2] is not None]
-    t_idx = np.concatenate([np.array(rows[i][2], dtype=np.int64) for i in twins]) if twins else np.zeros(0, np.int64)
-    t_row = np.repeat(np.arange(len(twins)), [len(rows[i][2]) for i in twins])
+    t_idx = np.concatenate([np.array([*r[2], *r[3]], dtype=np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+    t_row = np.repeat(np.arange(len(rows)), [len(r[2]) + len(r[3]) for r in rows])
+    sign = np.concatenate([np.repeat([1.0, -1.0], [len(r[2]), len(r[3])]) for r in rows]) if rows else np.zeros(0)
     share = y.mean()
     weight = np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(y)
     w, v = np.zeros(n + 1), np.zeros(n + 1)
     most = np.bincount(row, minlength=len(rows)).max(initial=0) + 1
-    step = 1.0 / (0.25 * most + ridge + fair * 0.125 * most * max(1, len(twins)) / len(y))
+    apart = np.bincount(t_row, minlength=len(rows)).max(initial=0)
+    step = 1.0 / (0.25 * most + ridge + 8 * fair * apart)
 
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     for k in range(rounds):
         u = v
-        p = sigmoid(np.bincount(row, weights=u[idx], minlength=len(rows)) + u[n])
-        g_row = weight * (p - y)
-        grad = np.zeros(n + 1)
-        if len(twins):
-            p1 = p[twins]
-            p2 = sigmoid(np.bincount(t_row, weights=u[t_idx], minlength=len(twins)) + u[n])
-            d = 2 * fair * (p1 - p2) / len(y)
-            s1, s2 = d * p1 * (1 - p1), d * p2 * (1 - p2)
-            g_row = g_row.copy()
-            np.add.at(g_row, twins, s1)
-            grad[:n] -= np.bincount(t_idx, weights=s2[t_row], minlength=n)[:n]
-            grad[n] -= s2.sum()
-        grad[:n] += np.bincount(idx, weights=g_row[row], minlength=n)[:n] + ridge * u[:n]
-        grad[n] += g_row.sum()
+        g_row = weight * (sigmoid(np.bincount(row, weights=u[idx], minlength=len(rows)) + u[n]) - y)
+        moved = np.bincount(t_row, weights=sign * u[t_idx], minlength=len(rows)) * (2 * fair / len(y))
+        grad = np.append(np.bincount(idx, weights=g_row[row], minlength=n)[:n] + ridge * u[:n], g_row.sum())
+        grad[:n] += np.bincount(t_idx, weights=sign * moved[t_row], minlength=n)[:n]
         after = u - 4 * step * grad
         v = after + (k / (k + 3)) * (after - w)
         w = after
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fair: float = FAIR) -> tuple[dict[str, float], float]:
     """Feature weights and the bias, from labelled rows that aren't held out."""
     bound(docs.sparkSession)
     known = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
@@ -162,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple
     got = got[got["feature"] != ""]
     got = got.assign(gain=gain(got["pos"].to_numpy(float), got["neg"].to_numpy(float), n_pos, n_neg))
     got = got[got["gain"] >= LEAST_GAIN].sort_values(["gain", "feature"], ascending=[False, True]).head(FEATURES)
-    names = [*got["feature"], *[t for t in SWAP if t not in set(got["feature"])]]
+    names = list(dict.fromkeys([*got["feature"], *sorted(features_of(SWAP))]))
     number = {f: i for i, f in enumerate(names)}
 
     def encode(batches):
@@ -170,12 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple
             rows = []
             for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
                 words = words_of(text)
-                twin = swapped(words)
-                rows.append((toxic, sorted(number[f] for f in features_of(words) if f in number), None if twin is None else sorted(number[f] for f in features_of(twin) if f in number)))
-            yield pd.DataFrame(rows, columns=["toxic", "x", "twin"])
+                here = {number[f] for f in features_of(words) if f in number}
+                there = {number[f] for f in features_of(counterfactual(text, words)) if f in number}
+                rows.append((toxic, sorted(here), sorted(there - here), sorted(here - there)))
+            yield pd.DataFrame(rows, columns=["toxic", "x", "more", "less"])
 
-    rows = texts.mapInPandas(encode, "toxic int, x array<int>, twin array<int>").collect()
-    w = fit([(r["toxic"], r["x"], r["twin"]) for r in rows], len(names))
+    rows = texts.mapInPandas(encode, "toxic int, x array<int>, more array<int>, less array<int>").collect()
+    w = fit(sorted((r["toxic"], r["x"], r["more"], r["less"]) for r in rows), len(names), fair=fair)
     return {f: float(w[i]) for f, i in number.items()}, float(w[-1])
 
 

@@ -173,6 +173,53 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.train(empty, lab)[0] == {}
 
 
+def test_fair_term_lowers_the_gap_on_neutral_mentions(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(1200):  # labels go along with a group, and only some toxic texts have a toxic word
+        bad = i % 3 == 0
+        t = words(rng, 40).split()
+        if bad and rng.random() < 0.7:
+            t[5] = "vileness"
+        if rng.random() < (0.85 if bad else 0.05):
+            t[0] = "muslims"
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(bad)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(1, "muslims are w1 here"), (2, "christians are w1 here"), (3, "are w1 here"), (4, "vileness w1 here")], "doc_id long, text string")
+    got = {}
+    for fair in (0.0, toxicity.FAIR):
+        w, b = toxicity.train(docs, lab, fair=fair)
+        got[fair] = [r.score for r in toxicity.score(neutral, w, b).orderBy("doc_id").collect()]
+    plain, fair = got[0.0], got[toxicity.FAIR]
+    assert plain[0] >= toxicity.CUT and fair[0] < 0.5  # a false positive of the plain model is none of the other
+    assert abs(fair[0] - fair[1]) < 0.5 * abs(plain[0] - plain[1]) and fair[3] >= toxicity.CUT
+
+
+def test_every_text_has_a_counterfactual_twin():
+    assert toxicity.counterfactual("Women are here", {"women", "are", "here"}) == {"men", "are", "here"}
+    twin = toxicity.counterfactual("nobody is named", {"nobody", "is", "named"})
+    assert len(twin) == 4 and len(twin & toxicity.SWAP.keys()) == 1 and toxicity.counterfactual(None, set()) != set()
+
+
+def test_counterfactual_gradient():
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 3 == 0), [0, 2] if k % 3 == 0 else [1], [3] if k % 2 else [], [2] if k % 3 == 0 and k % 2 == 0 else []) for k in range(60)]
+    plain, fair = toxicity.fit(rows, 4, fair=0.0, rounds=800), toxicity.fit(rows, 4, fair=1.0, rounds=800)
+
+    def loss(w, lam):
+        out = 0.0
+        for y, x, more, less in rows:
+            z = w[x].sum() + w[4]
+            p = 1 / (1 + np.exp(-z))
+            out -= (0.5 / (1 / 3) * np.log(p) if y else 0.5 / (2 / 3) * np.log(1 - p)) / 60 - lam * (w[more].sum() - w[less].sum()) ** 2 / 60
+        return out + 0.5 * toxicity.RIDGE * (w[:4] ** 2).sum()
+
+    for w, lam in ((plain, 0.0), (fair, 1.0)):
+        assert all(loss(w + rng.normal(0, 0.05, 5), lam) > loss(w, lam) - 1e-6 for _ in range(50))
+    assert abs(fair[2]) < 0.7 * abs(plain[2])
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
     lattice = langid.Lattice(pieces)
