@@ -154,8 +154,26 @@ query(
     G + "select id, round(priority::double, 6) as priority, low from q join (select id as i, low from k) on id = i",
 )(_star(lambda kg: Q.annotate(kg.nodes).select("id", F.round(F.col("source_priority").cast("double"), 6).alias("priority"), Q.is_low_signal().alias("low"))))
 query("file_and_stub_nodes", G + "select id, is_file, is_stub from k where is_file or is_stub")(_star(lambda kg: kg.with_degree().select("id", is_file_node().alias("is_file"), is_method_stub().alias("is_stub")).where("is_file or is_stub")))
-query("isolated_nodes", G + "select k.id, label from k where degree = 0 and not is_file")(_star(A.isolated_nodes))
-query("thin_communities", G + "select community, count(*)::bigint as size from n where community is not null group by 1 having count(*) < 50")(_star(lambda kg: A.thin_communities(kg, 50)))
+query("isolated_nodes", G + "select id, label from n where id not in (select source from e where relation = 'calls') and id not in (select target from e where relation = 'calls') and label <> split_part(source_file, '/', -1)")(
+    _star(lambda kg: A.isolated_nodes(KG(kg.nodes, kg.edges.where("relation = 'calls'"))))
+)
+query("thin_communities", G + "select community, count(*)::bigint as size from n where community is not null group by 1 having count(*) < 760")(_star(lambda kg: A.thin_communities(kg, 760)))
+query(
+    "question_categories",
+    G
+    + """, many as (select src, count(distinct n.community) as c from sym join n on n.id = dst where n.community is not null group by 1 having count(distinct n.community) >= 3),
+    gods as (select id, label, source_file, degree from k where not is_file and not is_stub and ((not low and label not like '.%' and node_type not in ('package', 'module')) or (node_type = 'module' and label in ('lib','mod','main','index','init')))),
+    named as (select id, degree, case when label in ('lib','mod','main','index','init') then
+      case when source_file like '%/src/%' then split_part(split_part(source_file, '/src/', 1), '/', -1) || '::' || label else split_part(source_file, '/', -2) || '::' || label end else label end as label from gods),
+    top as (select * from named order by degree desc, label, id limit 5), inf as (select source as i from e where confidence = 'INFERRED' union select target from e where confidence = 'INFERRED'),
+    s as (select community, count(*) as size from n where community is not null group by 1),
+    h as (select a.community, count(*) as hits from e join n a on a.id = e.source join n b on b.id = e.target where a.community = b.community group by 1),
+    c as (select s.community, size, coalesce(hits, 0) / (size * (size - 1) / 2.0::double) as co from s left join h on s.community = h.community where size > 1)
+    select 2 as rank, 'bridge_node' as category, 0::bigint as seq, id as subject, 'How does ''' || id || ''' relate to ' || c || ' different communities?' as question from k join many on src = id where not is_file and not low
+    union all select 3, 'verification', -degree, id, 'Can you verify the inferred relationships of ''' || label || ''' (degree ' || degree || ')?' from top where id in (select i from inf)
+    union all select 4, 'isolated_node', 0, id, 'What role does ''' || label || ''' play? It has no connections in the graph.' from k where degree = 0 and not is_file
+    union all select 5, 'low_cohesion', community, community::varchar, 'Why is ''community-' || community || ''' (' || size || ' nodes) loosely connected (cohesion ' || printf('%.2f', co) || ')? Should it be split?' from c where co < 0.3""",
+)(_star(lambda kg: A.suggest_questions(kg, top_n=1 << 30).where("rank > 1")))
 query("degrees", G + "select id, degree from d")(_star(lambda kg: kg.degrees()))
 query(
     "suggest_questions",
@@ -455,14 +473,14 @@ query(
 )(_DOCS(lambda d: docs.plain_chunks(d.select(F.format_string("corpus/doc_%d.txt", "doc_id").alias("path"), "text"), "\n")))
 query(
     "markdown_sections",
-    """with d as (select 'doc_' || doc_id || '.md' as path, substring(text, 1, 60) as a, doc_id from documents)
+    """with d as (select 'doc_' || doc_id || '.md' as path, doc_id from documents)
     select path, 3::int as line, 1::int as level, 'Part ' || doc_id as title from d union all select path, 9::int, 2::int, 'Second' from d""",
 )(
     _DOCS(
         lambda d: docs.headings(
             d.select(
                 F.format_string("doc_%d.md", "doc_id").alias("path"),
-                F.format_string("intro\n\n# Part %d #\n%s\n```\n# not a heading\n```\n# install things\n## `Second`\nend\n", "doc_id", F.regexp_replace(F.substring("text", 1, 60), r"[\n#`~]", " ")).alias("text"),
+                F.format_string("intro\n\n# Part %d #\n%s\n```\n# not a heading\n```\n# install things\n## `Second`\nend\n", "doc_id", F.regexp_replace("text", r"[\n\r#`~]", " ")).alias("text"),
             )
         ).select("path", "line", "level", "title")
     )
@@ -533,12 +551,12 @@ query("calls_by_part", _FN + " select distinct a.path, a.id as source, b.id as t
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.concat(F.lit("from pkg.m"), (k * 7 + 3) % 100, F.lit(" import Part"), (k * 7 + 3) % 100, F.lit("\n\nclass Part"), k, F.lit(":\n    def size(self):\n        return load()\n\ndef load():\n    return "), F.col("p_size"), F.lit("\n"))
-    return table(spark, sf, "part").where("p_partkey < 500").select(F.concat(F.lit("pkg/m"), k, F.lit(".py")).alias("path"), text.alias("text"))
+    return table(spark, sf, "part").select(F.concat(F.lit("pkg/m"), k, F.lit(".py")).alias("path"), text.alias("text"))
 
 
 query(
     "extract_python",
-    """with p as (select p_partkey as k, 'pkg_m' || p_partkey || '_py' as f from part where p_partkey < 500)
+    """with p as (select p_partkey as k, 'pkg_m' || p_partkey || '_py' as f from part)
     select f as source, f || '_part' || k as target, 'defines' as relation from p union all select f || '_part' || k, f || '_part' || k || '_size', 'defines' from p union all select f, f || '_load', 'defines' from p
     union all select f || '_part' || k || '_size', f || '_load', 'calls' from p union all select f, f || '_import_pkg_m' || (k * 7 + 3) % 100 || '_part' || (k * 7 + 3) % 100, 'imports' from p""",
 )(lambda spark, sf: code.extract(_sources(spark, sf))[1].select("source", "target", "relation"))
