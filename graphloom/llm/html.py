@@ -16,8 +16,8 @@ The wrapper decides what is the article:
   pages (templates side by side). Repeated groups, and elements with headings or
   paragraphs of their own, are not entered further.
 * Inside it, lists of links go, by the links of all pages. A block that stands
-  word for word at one path on half of the host's different pages (three at
-  least; pages with one long text are one page) is template and goes.
+  word for word at one path on half of the different pages that have the path
+  (``ENOUGH`` at least; pages with one long text are one page) is template and goes.
 * Kinds of elements that are never an article (navigation, forms, scripts,
   hidden ones) go. Words in classes only break ties: such an element goes if the
   wrapper has it as optional, repeated or small beside the main element; reader
@@ -51,7 +51,7 @@ from graphloom.llm.batches import bound
 from graphloom.workspace import written
 
 BROADCAST_BYTES = 16_000_000
-ENOUGH, DEPTH, HOLD, SMALL, LONG, SALTS = 3, 64, 0.7, 0.15, 100, 64
+ENOUGH, DEPTH, HOLD, SMALL, LONG, SALTS = 5, 64, 0.7, 0.15, 100, 64
 #: A tag ends at ``>``; one that is never closed ends at the next ``<``, so it costs its own length only.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*(?:>|(?=<)|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|[\"']|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -230,7 +230,8 @@ def refold(children: list) -> list:
 
 
 def fold(found) -> list:
-    """The tree of a page's events, its repetitions folded."""
+    """The tree of a page or its events, its repetitions folded."""
+    found = events(found) if isinstance(found, str) else found
     root = _node("")
     stack, link, below = [root], False, 0
     texts: list[list[str]] = [[]]
@@ -372,31 +373,42 @@ def _sums(n: list) -> tuple[int, int]:
 
 
 def blocks(found):
-    """``(path, signature, text)`` of a page's blocks, in order, and ``(path, signature, None)`` where an element opens or closes."""
-    paths, below, now = [("", "")], 0, []
+    """``(path, signature, text)`` of a page's runs of text, in order, and ``(path, signature, None)`` where an element opens.
+
+    A run is what stands between the begins and ends of elements; breaks in it part its blocks.
+    """
+    paths, below, now, lines = [("", "")], 0, [], []
+
+    def line() -> None:
+        if now and (t := clean("".join(now))):
+            lines.append(t)
+        now.clear()
+
     for kind, value in found:
         if kind == "text":
             now.append(value)
             continue
         if kind in ("link", "inline"):
             continue
-        if now:
-            if t := clean("".join(now)):
-                yield (*paths[-1], t)
-            now = []
+        line()
+        if kind == "break":
+            continue
+        if lines:
+            yield (*paths[-1], " ".join(lines))
+            lines.clear()
         if kind == "open":
             if len(paths) > DEPTH:
                 below += 1
                 continue
             paths.append((f"{paths[-1][0]}/{value}", value))
             yield (*paths[-1], None)
-        elif kind == "close":
-            if below:
-                below -= 1
-                continue
+        elif below:
+            below -= 1
+        else:
             paths.pop()
-    if t := clean("".join(now)):
-        yield (*paths[-1], t)
+    line()
+    if lines:
+        yield (*paths[-1], " ".join(lines))
 
 
 def block_key(path: str, text: str) -> int:
