@@ -89,7 +89,7 @@ def gain(a: np.ndarray, b: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return 2 * (h(a, pos) + h(b, neg) - h(a + b, pos + neg))
 
 
-def fit(rows: list[tuple[int, list[int], list[int], list[int]]], n: int, ridge: float = RIDGE, fair: float = FAIR, rounds: int = 300) -> np.ndarray:
+def fit(rows: list[tuple[int, list[int], list[int], list[int]]], n: int, ridge: float = RIDGE, fair: float = FAIR, rounds: int = 1200) -> np.ndarray:
     """Weights, the last of them the bias, by accelerated gradient descent on the mean loss.
 
     ``rows``: label, features, and the features that the twin has beyond them and lacks.
