@@ -19,7 +19,7 @@ from graphloom.workspace import cut
 HOT = 1000
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``table``, which has each key once; ``hot`` has ``HOT`` keys at the most."""
     few = F.broadcast(hot)
     by_broadcast = rows.join(F.broadcast(table.join(few, key, "left_semi")), key)
@@ -42,8 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         hot = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > nodes / HOT).select("parent")
-        seen = _looked_up(parents, up, "parent", hot).select("node", "parent", "grand")
-        far = _looked_up(sym, seen.select(F.col("node").alias("dst"), "grand"), "dst", often)
+        seen = looked_up(parents, up, "parent", hot).select("node", "parent", "grand")
+        far = looked_up(sym, seen.select(F.col("node").alias("dst"), "grand"), "dst", often)
         low = far.groupBy(F.col("src").alias("node")).agg(F.min("grand").alias("low"))
         offers = seen.join(low, "node").select(
             F.explode(
