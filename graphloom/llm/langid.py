@@ -353,11 +353,14 @@ def train(docs: DataFrame, fit_docs: int = FIT_DOCS, vocabulary: str | None = No
                     yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())})
 
     counted = chosen.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()  # words of the bounded sample
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist(), strict=True):
-        counts.setdefault(lang, {})[word] = n
-    return fit(counts, Lattice(pieces_of(path)))
+
+    def fitted(pdf):
+        """A language's words of the bounded sample; the columns' order doesn't matter, words are sorted."""
+        langs, p = fit({pdf["lang"].iloc[0]: dict(zip(pdf["word"], pdf["n"].tolist(), strict=True))}, Lattice(pieces_of(path)))
+        return pd.DataFrame({"lang": langs, "p": list(p)})
+
+    rows = counted.groupBy("lang").applyInPandas(fitted, "lang string, p array<double>").orderBy("lang").collect()  # languages x pieces
+    return [r["lang"] for r in rows], np.array([r["p"] for r in rows]) if rows else np.zeros((0, 1))
 
 
 def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str | None = None, keep=(), names=("lang_pred", "score")) -> DataFrame:
