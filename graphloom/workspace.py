@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a local one is set where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -23,14 +26,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", path: str | None = None) -> DataFrame:
     """The rows of ``df``, written once as Parquet in the shared folder and read back."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing will read again; a missing one is no fault."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: survives lost executors and ends the lineage."""
     shared_dir(df.sparkSession)
