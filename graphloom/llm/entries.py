@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from graphloom.llm import ctph, html, langid, media, mixing, packing, simhash, suffix, tokens, toxicity
+from graphloom.llm import ctph, html, kmeans, langid, lexical, media, mixing, packing, simhash, suffix, tokens, toxicity, urlrules
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1,
@@ -13,8 +13,13 @@ QUERIES = {
     "op8_media_columns": media.op8,
     "op9_simhash_bktree": simhash.op9,
     "op10_mix_sources": mixing.op10,
+    "op11_url_rules": urlrules.op11,
+    "op12_lexical_search": lexical.op12,
+    "op13_elkan_clusters": kmeans.op13,
 }
 
 SQL = {
     "op10_mix_sources": mixing.OP10_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
+    "op13_elkan_clusters": kmeans.OP13_SQL,
 }
