@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import bound
-from graphloom.llm.words import Known, code_points, hashes
+from graphloom.llm.words import Known, code_points
 
 FIT_DOCS, ROUNDS = 1500, 3
 VOCABULARY = "piece_bpe_32k.model"
 MARK, SAFE = "▁", 40  # words up to SAFE letters can't leave the range of floating-point numbers
 UNSEEN, SOFT = 1e-7, 0.05
-MULT, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-KEEP_WORDS, CHUNK, CELLS = 600_000, 1 << 20, 1 << 22
+MIX = np.uint64(0xBF58476D1CE4E5B9)
+KEEP_WORDS, KEEP_LETTERS, CHUNK, CELLS = 600_000, 1 << 23, 1 << 20, 1 << 22
 
 _letters: list[np.ndarray] = []
 
@@ -83,8 +83,9 @@ def pieces_of(path: str) -> list[str]:
 class Lattice:
     """All pieces that match inside words, for many words at a time.
 
-    Every beginning of a piece is a node of a trie, found by its hash; places
-    where no piece can go on are left out at once.
+    Every beginning of a piece is a node of a trie; a step goes from a node and
+    a letter, together one number, to the next node. Places where no piece can
+    go on are left out at once.
     """
 
     BITS = 20
@@ -92,31 +93,33 @@ class Lattice:
     def __init__(self, pieces: list[str]) -> None:
         pieces = sorted({p for p in pieces if p})
         self.n = len(pieces)  # the number after the last is any other single letter
-        nodes: dict[int, int] = {}
+        steps: dict[int, int] = {}
+        ends: dict[int, int] = {}
         for i, p in enumerate(pieces):
-            h = 0
+            node = 0
             for c in p:
-                h = (h * int(MULT) + ord(c) + 1) & (2**64 - 1)
-                nodes.setdefault(h, -1)
-            nodes[h] = i
-        keys = np.array(list(nodes), dtype=np.uint64)
+                node = steps.setdefault(node << 21 | ord(c) + 1, len(steps) + 1)
+            ends[node] = i
+        self.piece = np.full(len(steps) + 1, -1, dtype=np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        keys = np.array(list(steps), dtype=np.uint64)
         bucket = self._bucket(keys)
         order = np.argsort(bucket, kind="stable")
         held = np.bincount(bucket, minlength=1 << self.BITS)
         self.first, self.most = (np.cumsum(held) - held).astype(np.int32), int(held.max(initial=0))
         self.keys = np.append(keys[order], np.zeros(self.most, np.uint64))
-        self.number = np.append(np.array(list(nodes.values()), dtype=np.int32)[order], np.full(self.most, -1, np.int32))
+        self.node = np.append(np.array(list(steps.values()), dtype=np.int64)[order], np.full(self.most, -1, np.int64))
         self.longest = max(map(len, pieces), default=1)
 
     def _bucket(self, h: np.ndarray) -> np.ndarray:
         return (((h ^ (h >> np.uint64(29))) * MIX) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """The node of each hash, or -1."""
-        at = self.first[self._bucket(h)]
-        out = np.full(len(h), -1, dtype=np.int32)
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The node that each step leads to, or -1."""
+        at = self.first[self._bucket(key)]
+        out = np.full(len(key), -1, dtype=np.int64)
         for k in range(self.most):
-            out = np.where(self.keys[at + k] == h, at + k, out)
+            out = np.where(self.keys[at + k] == key, self.node[at + k], out)
         return out
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]]:
@@ -130,17 +133,16 @@ class Lattice:
         word = np.repeat(np.arange(len(words)), size + 1)
         at = np.flatnonzero(code != np.uint64(11))
         left = (base + size)[word[at]] - at
-        h, length, found = np.zeros(len(at), dtype=np.uint64), 0, []
+        node, length, found = np.zeros(len(at), dtype=np.int64), 0, []
         while len(at):
             length += 1
-            h = h * MULT + code[at + (length - 1)]
-            node = self._find(h)
-            number = np.where(node >= 0, self.number[node], -1)
+            node = self._find(node.astype(np.uint64) << np.uint64(21) | code[at + (length - 1)])
+            number = np.where(node >= 0, self.piece[node], -1)
             hit = np.ones(len(at), dtype=bool) if length == 1 else number >= 0
             if hit.any():
                 found.append((at[hit], length, np.where(number[hit] >= 0, number[hit], self.n)))
             go = (node >= 0) & (left > length)
-            at, h, left = at[go], h[go], left[go]
+            at, node, left = at[go], node[go], left[go]
         out = []
         for start, length, piece in found:
             w = word[start]
@@ -290,9 +292,9 @@ class Scorer:
         out = np.zeros((len(texts), len(self.langs)))
         some = np.zeros(len(texts), dtype=bool)
         if len(at):
-            if len(self.known) > KEEP_WORDS:
+            if len(self.known) > KEEP_WORDS or self.known.used > KEEP_LETTERS:
                 self.known, self.rows = Known(), np.zeros((0, len(self.langs)))
-            number, new = self.known.numbers(hashes(cp, at, stop))
+            number, new = self.known.numbers(cp, at, stop)
             if len(new):
                 self._learn([joined[a:b] for a, b in zip(at[new].tolist(), stop[new].tolist(), strict=True)])
             step = max(1, CELLS // len(self.langs))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.batches import bound
 from graphloom.llm.files import NewFile, Ranges
-from graphloom.llm.words import Known, code_points, hashes
+from graphloom.llm.words import Known, code_points
 from graphloom.workspace import new_path, written
 
 MAGIC, FOOTER = b"LOOMSST1", "<QQQQQQIB8s"
@@ -166,7 +166,7 @@ class Table:
         return next((self.ids(raw) for k, raw in self._block(i) if k == key), None) if i < len(self.index) else None
 
 
-CHUNK, KEEP_WORDS = 1 << 20, 1_500_000
+CHUNK, KEEP_WORDS, KEEP_LETTERS = 1 << 20, 1_500_000, 1 << 24
 OTHER, LETTER, NUMBER, SPACE, UNSURE = range(5)
 _CUT = re.compile(r"(?<=\S)[ \n\t]|(?<=[^\W\d_])(?=[^\w\s'])|(?<=[^\W\d_])(?=[0-9])")
 
@@ -291,7 +291,7 @@ class Encoder:
         first[(end - size)[size > 0]] = True
         at = np.flatnonzero(starts_of_words(cp, kind, first))
         stop = np.append(at[1:], n)
-        word, new = self.known.numbers(hashes(cp, at, stop))
+        word, new = self.known.numbers(cp, at, stop)
         if len(new):
             self._learn([joined[a:b] for a, b in zip(at[new].tolist(), stop[new].tolist(), strict=True)])
         count = self.count[word]
@@ -311,7 +311,7 @@ class Encoder:
 
         def flush() -> None:
             nonlocal part, held
-            if len(self.known) > KEEP_WORDS:
+            if len(self.known) > KEEP_WORDS or self.known.used > KEEP_LETTERS:
                 self.forget()
             for (i, _), ids in zip(part, self._encode_words([t for _, t in part]), strict=True):
                 out[i].append(ids)
