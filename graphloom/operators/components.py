@@ -26,6 +26,11 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> Da
     return by_broadcast.unionByName(rows.join(few, key, "left_anti").join(table, key))
 
 
+def often(rows: DataFrame, key: str) -> DataFrame:
+    """The keys, fewer than ``HOT``, that more than one of ``HOT`` rows has."""
+    return cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows.count() / HOT).select(key))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``edges(src, dst)`` of any ordered type → ``(node, component)``, component = least node.
 
@@ -38,12 +43,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     parents = cut(sym.groupBy(F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("parent")))
     state = F.bit_xor(F.xxhash64("node", "parent"))
     was, nodes = parents.agg(state, F.count(F.lit(1))).first()
-    often = cut(sym.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > sym.count() / HOT).select("dst"))
+    met = often(sym, "dst")
+    any_met = not met.isEmpty()
     for _ in range(max_rounds):
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         hot = parents.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > nodes / HOT).select("parent")
         seen = looked_up(parents, up, "parent", hot).select("node", "parent", "grand")
-        far = looked_up(sym, seen.select(F.col("node").alias("dst"), "grand"), "dst", often)
+        grand = seen.select(F.col("node").alias("dst"), "grand")
+        far = looked_up(sym, grand, "dst", met) if any_met else sym.join(grand, "dst")
         low = far.groupBy(F.col("src").alias("node")).agg(F.min("grand").alias("low"))
         offers = seen.join(low, "node").select(
             F.explode(
