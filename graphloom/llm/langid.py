@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.batches import bound
 from graphloom.llm.words import Known, code_points
@@ -371,9 +372,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str |
     bound(spark)
     model = spark.sparkContext.broadcast((langs, p.astype(np.float32)))  # languages x pieces, both bounded
     fields = [f for f in docs.schema.fields if f.name in keep]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    schema = T.StructType([*[T.StructField(f"x{i}", f.dataType) for i, f in enumerate(fields)], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
     name = f"{id(model)}-{model._jbroadcast.id() if model._jbroadcast is not None else 0}"
 
     def run(batches):
@@ -384,11 +383,12 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str |
         scorer = _models[name]
         for pdf in batches:
             got = scorer.score(pdf["text"].tolist())
-            out = pdf[[f.name for f in fields]].copy()
-            out[names[0]], out[names[1]] = [g[0] for g in got], [g[1] for g in got]
+            out = pdf[[f"x{i}" for i in range(len(fields))]].copy()
+            out["lang"], out["score"] = [g[0] for g in got], [g[1] for g in got]
             yield out
 
-    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]).mapInPandas(run, schema)
+    kept = [F.col(f"`{f.name}`").alias(f"x{i}") for i, f in enumerate(fields)]
+    return docs.select(*kept, "text").mapInPandas(run, schema).toDF(*[f.name for f in fields], *names)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

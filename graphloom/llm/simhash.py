@@ -13,7 +13,8 @@ each of its classes, not all pairs; components come from those edges.
 
 Defined cases: null or blank text has fingerprint 0, linked like any other; an
 empty table gives an empty result; repeated rows are repeated in the result;
-extra columns are not looked at.
+a null doc_id never names a component unless all of its rows are null; extra
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.batches import bound
-from graphloom.operators.components import connected_components
+from graphloom.operators.components import connected_components, looked_up, often
 from graphloom.workspace import written
 
 RADIUS, HOT, SEED = 3, 256, 42
@@ -174,7 +175,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFr
     named = once.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     names = named.select("fp", "group").join(least, "group").select("fp", "component_id")
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    return looked_up(fps, names, "fp", often(fps, "fp")).select("doc_id", "fp", "component_id")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -450,7 +450,7 @@ def digests(docs: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES)
 def deduplicated(docs: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``docs`` with what is left of each text (a cut letter goes too), and n_chars to match; all rows stay."""
     fields = docs.schema.fields
-    others = [F.col(f.name).alias(f"x{i}") for i, f in enumerate(fields) if f.name not in ("doc_id", "text")]
+    others = [F.col(f"`{f.name}`").alias(f"x{i}") for i, f in enumerate(fields) if f.name not in ("doc_id", "text")]
 
     def make(g: Group, gone: np.ndarray, pdf: pd.DataFrame) -> pd.DataFrame:
         out, texts = pdf.iloc[g.order].reset_index(drop=True), []
@@ -460,13 +460,12 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, group_bytes: int = GROUP_B
         result = {}
         for i, f in enumerate(fields):
             name = f.name if f.name in ("doc_id", "text") else f"x{i}"
-            result[f.name] = texts if name == "text" else out[name]
-        result = pd.DataFrame(result)
-        if "n_chars" in result.columns:
-            result["n_chars"] = [0 if t is None else len(t) for t in texts]
-        return result
+            counted = [0 if t is None else len(t) for t in texts] if f.name == "n_chars" else None
+            result[f"x{i}"] = texts if name == "text" else counted or out[name]
+        return pd.DataFrame(result)
 
-    return _cut(docs, others, T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]), make, width, group_bytes)
+    rows = _cut(docs, others, T.StructType([T.StructField(f"x{i}", f.dataType, True) for i, f in enumerate(fields)]), make, width, group_bytes)
+    return rows.toDF(*[f.name for f in fields])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import corpus_pipeline
 from graphloom.llm.entries import QUERIES, SQL
 from tests.llm.test_jaccard import brute
 
-CLASHES = ("score", "lang_pred", "Stays", "cluster", "bucket", "key", "grp", "node", "group", "size", "tie", "kept", "bin", "component_id", "shard", "copy", "row", "x0", "n", "rank")
+CLASHES = ("score", "lang_pred", "Stays", "cluster", "bucket", "key", "grp", "node", "group", "size", "tie", "kept", "bin", "component_id", "shard", "copy", "row", "x0", "n", "rank", "a.b", "text_id", "stays_text", "lang_", "least")
 ODD = [
     (5, "one two three four five six seven eight nine ten eleven twelve " * 3, "en", "a", 10),
     (3, "one two three four five six seven eight nine ten eleven twelve " * 3, "en", "a", 10),
@@ -24,7 +24,7 @@ ODD = [
 
 
 def test_entries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
 
 
@@ -88,3 +88,16 @@ def test_stages_on_odd_rows_and_clashing_columns(spark, kind):
             for r in rows:
                 taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
             assert max(n for d, n in taken.items() if d != 3) <= 2 and taken.get(3, 0) <= 4
+
+
+def test_near_dedup_goes_by_row_and_nulls_come_first(spark):
+    x, y = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    for rows, want in (
+        ([(1, y), (5, x), (5, y)], [(1, y), (5, x)]),
+        ([(None, y), (1, y)], [(None, y)]),
+        ([(None, y), (None, x), (2, x), (2, x), (2, y), (3, None), (3, "")], [(None, x), (None, y), (3, None)]),
+        ([(2**60 + 1, x), (2**60, x), (None, y)], [(2**60, x), (None, y)]),
+    ):
+        docs = spark.createDataFrame([(*r, None, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
