@@ -15,17 +15,18 @@ The wrapper decides what is the article:
   outside links, or several such children that exclude each other on the host's
   pages (templates side by side). Repeated groups, and elements with headings or
   paragraphs of their own, are not entered further.
-* Inside it, lists of links go, by the links of all pages. A block that stands
-  word for word at one path on half of the different pages that have the path
-  (``ENOUGH`` at least; pages with one long text are one page) is template and goes.
+* Inside it, lists of links go, by the links of all pages. Nothing goes for being
+  the same on all pages: headings are.
 * Kinds of elements that are never an article (navigation, forms, scripts,
   hidden ones) go. Words in classes only break ties: such an element goes if the
   wrapper has it as optional, repeated or small beside the main element; reader
   comments always go.
 
-A host with fewer than ``ENOUGH`` pages has nothing to align, and a page that has
-none of its host's main elements goes by its own elements: article, main, class
-words, then text. Elements deeper than ``DEPTH`` count as parts of the one above.
+Where less than ``VARIES`` of a host's text varies (one page, or copies of it),
+alignment can't tell, and a page that has none of its host's main elements isn't
+aligned; such go by their own elements: article, main, class words, then text.
+Elements deeper than ``DEPTH`` count as parts of the one above, those that are
+never an article go there too.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs
 to the host ""; unclosed and stray tags are mended like browsers do; repeated
@@ -42,7 +43,6 @@ from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ from graphloom.llm.batches import bound
 from graphloom.workspace import written
 
 BROADCAST_BYTES = 16_000_000
-ENOUGH, DEPTH, HOLD, SMALL, LONG, SALTS = 5, 64, 0.7, 0.15, 100, 64
+DEPTH, HOLD, SMALL, VARIES, SALTS = 64, 0.7, 0.15, 0.5, 64
 #: A tag ends at ``>``; one that is never closed ends at the next ``<``, so it costs its own length only.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*(?:>|(?=<)|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|(?=<)|[\"']|\Z)", re.S)
 ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -233,12 +233,12 @@ def fold(found) -> list:
     """The tree of a page or its events, its repetitions folded."""
     found = events(found) if isinstance(found, str) else found
     root = _node("")
-    stack, link, below = [root], False, 0
+    stack, link, below = [root], False, []
     texts: list[list[str]] = [[]]
     for kind, value in found:
         if kind == "open":
             if len(stack) > DEPTH:
-                below += 1
+                below.append(below[-1:] == [True] or is_boilerplate(value))
                 texts[-1].append(" ")
                 continue
             node = _node(value)
@@ -247,7 +247,7 @@ def fold(found) -> list:
             texts.append([])
         elif kind == "close":
             if below:
-                below -= 1
+                below.pop()
                 texts[-1].append(" ")
                 continue
             node = stack.pop()
@@ -256,6 +256,8 @@ def fold(found) -> list:
             node[1] = refold(node[1])
         elif kind == "link":
             link = not value
+        elif below and below[-1]:
+            continue
         elif kind == "text":
             k = len(SPACE.sub("", value))
             stack[-1][2][0] += k
@@ -269,7 +271,7 @@ def fold(found) -> list:
 
 def is_constant(n: list) -> bool:
     """One text in all the pages that have the element."""
-    return n[5] >= ENOUGH and n[2][2] not in (None, -1)
+    return n[5] > 1 and n[2][2] not in (None, -1)
 
 
 def _mass(node: list, skip) -> float:
@@ -327,9 +329,19 @@ def main_elements_alone(root: list) -> list[list]:
         n = best
 
 
+def _letters(node: list) -> int:
+    """Letters outside links and furniture below a node, the same on all pages or not."""
+    return 0 if is_furniture(node[0]) else node[2][0] - node[2][1] + sum(map(_letters, node[1]))
+
+
 def rules(root: list, alone: bool = False) -> dict[str, bool]:
-    """Which element paths hold text of the article; paths outside the main elements are left out."""
-    alone = alone or max((c[5] for c in root[1]), default=0) < ENOUGH
+    """Which element paths hold text of the article; paths outside the main elements are left out.
+
+    A wrapper tells what is the article by what varies, if ``VARIES`` of the text
+    does; else (one page, copies of it) by the elements alone. Inside the main
+    elements nothing goes for being the same on all pages.
+    """
+    alone = alone or _mass(root, is_furniture) < VARIES * _letters(root) or max((c[5] for c in root[1]), default=0) < 2
     found: dict[str, bool] = {}
     mains = {id(n): _mass(n, is_furniture) / n[5] for n in (main_elements_alone(root) if alone else main_elements(root))}
 
@@ -338,7 +350,7 @@ def rules(root: list, alone: bool = False) -> dict[str, bool]:
         tag = _tag(n[0])
         if tag == "header" and not n[0].partition("@")[2]:
             return False  # an article's own heading
-        if is_furniture(n[0]) or (not alone and is_constant(n) and not n[1]):
+        if is_furniture(n[0]):
             return True
         letters, links = _sums(n)
         if tag in ("ul", "ol", "div", "section", "table") and letters and links > 0.8 * letters:
@@ -377,7 +389,7 @@ def blocks(found):
 
     A run is what stands between the begins and ends of elements; breaks in it part its blocks.
     """
-    paths, below, now, lines = [("", "")], 0, [], []
+    paths, below, now, lines = [("", "")], [], [], []
 
     def line() -> None:
         if now and (t := clean("".join(now))):
@@ -386,7 +398,8 @@ def blocks(found):
 
     for kind, value in found:
         if kind == "text":
-            now.append(value)
+            if below[-1:] != [True]:
+                now.append(value)
             continue
         if kind in ("link", "inline"):
             continue
@@ -398,12 +411,12 @@ def blocks(found):
             lines.clear()
         if kind == "open":
             if len(paths) > DEPTH:
-                below += 1
+                below.append(below[-1:] == [True] or is_boilerplate(value))
                 continue
             paths.append((f"{paths[-1][0]}/{value}", value))
             yield (*paths[-1], None)
         elif below:
-            below -= 1
+            below.pop()
         else:
             paths.pop()
     line()
@@ -411,19 +424,8 @@ def blocks(found):
         yield (*paths[-1], " ".join(lines))
 
 
-def block_key(path: str, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) >> 1
-
-
-def path_key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass")) >> 1
-
-
-def extract(found, keep: dict[str, bool], template=frozenset()) -> str | None:
-    """The article's text; None if the page has no main element. ``keep``: paths; unknown ones follow their parents.
-
-    ``template``: keys of blocks that don't count.
-    """
+def extract(found, keep: dict[str, bool]) -> str | None:
+    """The article's text; None if the page has no main element. ``keep``: paths; unknown ones follow their parents."""
     known: dict[str, bool | None] = {"": keep.get("")}
     out, some = [], known[""] is not None
     for path, sig, text in found:
@@ -432,45 +434,34 @@ def extract(found, keep: dict[str, bool], template=frozenset()) -> str | None:
                 up = known[path[: len(path) - len(sig) - 1]]
                 known[path] = keep.get(path, None if up is None else up and not is_boilerplate(sig))
             some = some or known[path] is not None
-        elif known[path] and block_key(path, text) not in template:
+        elif known[path]:
             out.append(text)
     return " ".join(out) if some else None
 
 
-def main_text_of(page: str | None, keep: dict[str, bool], template=frozenset()) -> str:
+def main_text_of(page: str | None, keep: dict[str, bool]) -> str:
     if not page:
         return ""
     found = list(events(page))
-    text = extract(blocks(found), keep, template)
+    text = extract(blocks(found), keep)
     return extract(blocks(found), rules(fold(found), alone=True)) or "" if text is None else text
 
 
-TOLD = "kind int, host string, salt int, wrapper string, path long, block long, page long"
+TOLD = "host string, salt int, wrapper string"
 
 
 def told_by(batches):
-    """Of a task's pages: a wrapper for each host (kind 0), and where blocks of text stand (kind 1)."""
+    """A wrapper of a task's pages for each host."""
     trees: dict[str, list] = {}
     salt = TaskContext.get().partitionId() % SALTS
     for pdf in batches:
-        rows: dict[tuple, None] = {}
         for host, page in zip(pdf["host"], pdf["html"], strict=True):
-            if not page:
-                continue
-            found = list(events(page))
-            tree = fold(found)
-            trees[host] = merge(trees[host], tree) if host in trees else tree
-            texts = [(path, t) for path, sig, t in blocks(found) if t is not None]
-            long = [t for _, t in texts if len(t) >= LONG] or [t for _, t in texts]
-            of = block_key("", "\0".join(long))
-            for path, t in texts:
-                rows[host, path_key(path), block_key(path, t), of] = None
-        if rows:
-            out = pd.DataFrame(list(rows), columns=["host", "path", "block", "page"])
-            yield out.assign(kind=1, salt=salt, wrapper=None)[["kind", "host", "salt", "wrapper", "path", "block", "page"]]
+            if page:
+                tree = fold(page)
+                trees[host] = merge(trees[host], tree) if host in trees else tree
     if trees:
         some = [json.dumps(w, separators=(",", ":")) for w in trees.values()]
-        yield pd.DataFrame({"kind": 0, "host": list(trees), "salt": salt, "wrapper": some, "path": 0, "block": 0, "page": 0})
+        yield pd.DataFrame({"host": list(trees), "salt": salt, "wrapper": some})
 
 
 def _aligned(pdf: pd.DataFrame) -> list:
@@ -481,7 +472,7 @@ def _aligned(pdf: pd.DataFrame) -> list:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, rules, template)``: paths of each host's wrapper as JSON, and the keys of its template blocks."""
+    """``(host, rules)``: paths of each host's wrapper as JSON."""
 
     def by_salt(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(_aligned(pdf), separators=(",", ":"))]})
@@ -490,40 +481,34 @@ def wrappers(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "rules": [json.dumps(rules(_aligned(pdf)), separators=(",", ":"))]})
 
     bound(pages.sparkSession)
-    told = written(pages.select(host_of().alias("host"), "html").mapInPandas(told_by, TOLD), "told", "zstd")
-    some = told.where("kind = 0").groupBy("host", "salt").applyInPandas(by_salt, "host string, wrapper string")
-    ruled = some.groupBy("host").applyInPandas(by_host, "host string, rules string")
-    stands = told.where("kind = 1").select("host", "path", "block", "page").distinct()
-    often = stands.groupBy("host", "path", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENOUGH)
-    pages_of = stands.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count(F.lit(1)).alias("all"))
-    fixed = often.join(pages_of, ["host", "path"]).where(F.col("n") * 2 >= F.col("all"))
-    listed = fixed.groupBy("host").agg(F.collect_list("block").alias("template"))  # at most two for each block of a page
-    return written(ruled.join(listed, "host", "left"), "wrappers")
+    told = pages.select(host_of().alias("host"), "html").mapInPandas(told_by, TOLD)
+    some = told.groupBy("host", "salt").applyInPandas(by_salt, "host string, wrapper string")
+    return written(some.groupBy("host").applyInPandas(by_host, "host string, rules string"), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)``."""
     known = wrappers(pages)
-    size = known.agg(F.sum(F.octet_length("rules") + 8 * F.coalesce(F.size("template"), F.lit(0)))).first()[0] or 0
+    size = known.agg(F.sum(F.octet_length("rules"))).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of().alias("host"))
     rows = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
 
     def run(batches):
-        compiled: dict[str, tuple[dict[str, bool], frozenset]] = {}
+        compiled: dict[str, dict[str, bool]] = {}
         for pdf in batches:
             texts = []
-            for page, host, rule, template in zip(pdf["html"], pdf["host"], pdf["rules"], pdf["template"], strict=True):
+            for page, host, rule in zip(pdf["html"], pdf["host"], pdf["rules"], strict=True):
                 if not page or not isinstance(rule, str):
                     texts.append("")
                     continue
                 if host not in compiled:
                     if len(compiled) > 256:
                         compiled.clear()
-                    compiled[host] = json.loads(rule), frozenset() if template is None else frozenset(int(x) for x in template)
-                texts.append(main_text_of(page, *compiled[host]))
+                    compiled[host] = json.loads(rule)
+                texts.append(main_text_of(page, compiled[host]))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.select("page_id", "url", "html", "host", "rules", "template").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "rules").mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def neutral(host, i, noise):
     """No kind or class tells what is what; notices stand in the content's own tags."""
     words = " ".join(f"{noise}{i}w{k}" for k in range(60))
     if host == "q.example":
-        return f'<div class="xa"><p>All rights to the house of Q are kept by Q.</p></div><div class="xb"><div class="xc"><h2>T{i}</h2><p>{words}</p><p>Please read our note on the use of this place.</p><p>{words} b</p></div></div><div class="xd"><p>Q{i % 3}</p></div>'
+        return f'<div class="xa"><p>{"All rights to the house of Q are kept by Q. " * 10}</p></div><div class="xb"><div class="xc"><h2>T{i}</h2><p>{words}</p><p>Please read our note on the use of this place.</p><p>{words} b</p></div></div><div class="xd"><p>Q{i % 3}</p></div>'
     many = "".join(f"<div class=zi>{words} {k}</div>" for k in range(i % 4 + 1))
     side = f'<div class="legal">{words} legal</div>' if i % 2 else ""
     return f'<div class="za"><div class="zb">{many}<div class="legal notice">{words} of the law, which varies and is long. {words}</div>{side}</div></div><div class="zc">Z is a fine place to be and to stay.</div>'
@@ -33,7 +33,7 @@ def neutral(host, i, noise):
 def expected(host, i, noise):
     words = " ".join(f"{noise}{i}w{k}" for k in range(60))
     if host == "q.example":
-        return f"T{i} {words} {words} b"
+        return f"T{i} {words} Please read our note on the use of this place. {words} b"  # inside the article, in its own tags
     return " ".join([*(f"{words} {k}" for k in range(i % 4 + 1)), f"{words} of the law, which varies and is long. {words}"])
 
 
@@ -51,6 +51,34 @@ def test_wrappers_decide_where_words_say_nothing(spark):
     assert sum(a != r[3] for a, r in zip(alone, rows, strict=True)) == len(rows)  # each page by itself comes out wrong
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 12, 500])
+@pytest.mark.parametrize("tag", ["article", 'div class="x1"'])
+def test_headings_that_all_pages_have_stay(spark, n, tag):
+    rows, want = [], {}
+    for i in range(n):
+        words = [" ".join(f"w{i}x{j}y{k}" for k in range(30)) for j in range(2)]
+        body = f"<h2>Background</h2><p>{words[0]}</p><p>Same words on every page.</p><h2>Results</h2><div>Constant box</div><p>{words[1]}</p>"
+        rows.append((i, "http://h.example/x", f"<body><nav><a href=x>Home</a></nav><{tag}>{body}</{tag.split()[0]}><footer>Ours</footer></body>"))
+        want[i] = f"Background {words[0]} Same words on every page. Results Constant box {words[1]}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in html.main_text(df).collect()} == want
+
+
+def test_near_copies_of_one_page_keep_their_text(spark):
+    body = "".join(f"<div class=s{i}><p>Section {i} of the text, the same in all copies.</p></div>" for i in range(6))
+    rows = [(i, "http://c.example/", f"<body><div class=content>{body}<div class=last><p>Edited {i}.</p></div></div></body>") for i in range(9)]
+    rows += [(9 + i, "http://one.example/", rows[0][2]) for i in range(9)]
+    got = [r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    whole = " ".join(f"Section {i} of the text, the same in all copies." for i in range(6))
+    assert got == [f"{whole} Edited {i}." for i in range(9)] + [f"{whole} Edited 0."] * 9
+
+
+@pytest.mark.parametrize("deep", [1, 63, 64, 65, 200])
+def test_menus_go_at_any_depth(deep):
+    page = "<div>" * deep + "<nav><ul><li>Menu</li></ul></nav><p>Kept.</p><form>Name<p>Send</p></form><p>Too.</p>" + "</div>" * deep
+    assert html.main_text_of(page, {}) == "Kept. Too."
+
+
 def test_odd_pages(spark):
     big = "İ" * 40 + " words"
     rows = [
