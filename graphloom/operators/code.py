@@ -1,9 +1,10 @@
-"""Source code to nodes and edges: a table of patterns by language, and the syntax tree for Python."""
+"""Source code to nodes and edges: island grammars by language, and the syntax tree for Python."""
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import ascii_lower
+from graphloom.operators import island
+from graphloom.workspace import written
 
 # Languages by extension.
 LANGUAGES = {
@@ -19,71 +22,6 @@ LANGUAGES = {
     "swift": "swift", "lua": "lua", "toc": "lua", "zig": "zig", "ps1": "powershell", "ex": "elixir", "exs": "elixir", "m": "objc", "mm": "objc", "jl": "julia", "dart": "dart", "sql": "sql",
 }
 
-_MODS = r"(?:(?:pub(?:\([^)]*\))?|public|private|protected|internal|open|abstract|sealed|partial|static|final|export|default|async|override|virtual|suspend|data|unsafe|const)\s+)*"
-_NAME = r"(?P<name>\w+)"
-
-
-def _rx(*patterns: str) -> tuple[re.Pattern, ...]:
-    return tuple(re.compile(p, re.M) for p in patterns)
-
-
-#: For each language: patterns of types (group kind or a set kind), of functions, and of imports (groups name, names, from).
-SPEC: dict[str, dict] = {
-    "javascript": {
-        "types": (("class", _rx(rf"{_MODS}class\s+{_NAME}")),),
-        "functions": _rx(rf"{_MODS}function\s+{_NAME}\s*\(", rf"(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s+)?(?:\([^)]*\)|\w+)\s*=>"),
-        "imports": _rx(r"import\s+(?:\{(?P<names>[^}]+)\}|(?P<default>\w+))\s+from\s+['\"](?P<from>[^'\"]+)['\"]", r"import\s+['\"](?P<name>[^'\"]+)['\"]", r"(?:const|let|var)\s+\w+\s*=\s*require\s*\(\s*['\"](?P<name>[^'\"]+)['\"]\s*\)"),
-    },
-    "rust": {
-        "types": tuple((k, _rx(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?{k}\s+{_NAME}")) for k in ("struct", "enum", "trait")),
-        "functions": _rx(rf"^(?P<indent>\s*){_MODS}fn\s+{_NAME}"),
-        "imports": _rx(r"^\s*(?:pub\s+)?use\s+(?P<name>[\w:]+)"),
-        "implements": _rx(r"^\s*impl(?:<[^>]*>)?\s+(?P<trait>\w+)\s+for\s+(?P<name>\w+)"),
-    },
-    "go": {
-        "types": (("struct", _rx(rf"^type\s+{_NAME}\s+struct")), ("interface", _rx(rf"^type\s+{_NAME}\s+interface"))),
-        "functions": _rx(rf"^func\s+(?:(?P<receiver>\([^)]+\))\s+)?{_NAME}\s*\("),
-        "imports": _rx(r"^import\s+\"(?P<name>[^\"]+)\"", r"^import\s*\((?P<block>[^)]+)\)"),
-        "import_kind": "package",
-    },
-    "java": {
-        "types": tuple((k, _rx(rf"^\s*{_MODS}{k}\s+{_NAME}")) for k in ("class", "interface", "enum")),
-        "functions": _rx(rf"^(?P<indent>\s+){_MODS}(?:synchronized\s+)?\w+(?:<[^>]*>)?\s+(?!new\b){_NAME}\s*\([^;{{]*\)[^;{{]*\{{"),
-        "imports": _rx(r"^import\s+(?:static\s+)?(?P<name>[\w.]+)\s*;"),
-    },
-    "c": {
-        "types": (("struct", _rx(rf"^(?:typedef\s+)?struct\s+{_NAME}")),),
-        "functions": _rx(rf"^(?:(?:static|inline|extern|const|unsigned|signed)\s+)*\w+(?:\s*\*\s*|\s+){_NAME}\s*\([^;]*?\)\s*\{{"),
-        "imports": _rx(r"^#include\s+[<\"](?P<name>[^>\"]+)[>\"]"),
-    },
-    "cpp": {
-        "types": (("class", _rx(rf"^\s*class\s+{_NAME}")), ("struct", _rx(rf"^\s*struct\s+{_NAME}")), ("namespace", _rx(rf"^\s*namespace\s+{_NAME}"))),
-        "functions": _rx(rf"^(?:(?:static|inline|extern|const|unsigned|signed)\s+)*\w+(?:\s*[*&]\s*|\s+)(?:\w+::)?{_NAME}\s*\([^;]*?\)\s*(?:const\s*)?\{{"),
-        "imports": _rx(r"^#include\s+[<\"](?P<name>[^>\"]+)[>\"]"),
-    },
-    "ruby": {
-        "types": (("class", _rx(r"^\s*class\s+(?P<name>\w+(?:::\w+)*)")), ("module", _rx(r"^\s*module\s+(?P<name>\w+(?:::\w+)*)"))),
-        "functions": _rx(r"^(?P<indent>\s*)def\s+(?:self\.)?(?P<name>\w+[?!=]?)"),
-        "imports": _rx(r"^\s*require(?:_relative)?\s+['\"](?P<name>[^'\"]+)['\"]"),
-    },
-    "csharp": {
-        "types": tuple((k, _rx(rf"^\s*{_MODS}{k}\s+{_NAME}")) for k in ("class", "interface", "struct", "enum")),
-        "functions": _rx(rf"^(?P<indent>\s+){_MODS}\w+(?:<[^>]*>)?\s+(?!new\b){_NAME}\s*\([^;{{]*\)\s*\{{"),
-        "imports": _rx(r"^using\s+(?P<name>[\w.]+)\s*;"),
-    },
-    "kotlin": {
-        "types": (("class", _rx(rf"^\s*{_MODS}(?:class|object)\s+{_NAME}")), ("interface", _rx(rf"^\s*{_MODS}interface\s+{_NAME}"))),
-        "functions": _rx(rf"^(?P<indent>\s*){_MODS}fun\s+(?:<[^>]+>\s+)?{_NAME}\s*\("),
-        "imports": _rx(r"^import\s+(?P<name>[\w.]+)"),
-    },
-    "generic": {
-        "types": (("class", _rx(rf"^\s*{_MODS}(?:class|struct|module|object|interface|trait|protocol|enum|defmodule)\s+(?P<name>\w+(?:::\w+)*)")),),
-        "functions": _rx(rf"^(?P<indent>\s*){_MODS}(?:func|function|fn|def|defp|fun|sub)\s+(?P<name>\w+[?!]?)\s*[(<]"),
-        "imports": _rx(r"^\s*(?:import|use|using|require|include|from)\s+['\"]?(?P<name>[\w./:-]+)['\"]?"),
-    },
-}
-SPEC["typescript"] = SPEC["javascript"] | {"types": (*SPEC["javascript"]["types"], ("interface", _rx(rf"^\s*{_MODS}interface\s+{_NAME}")), ("enum", _rx(rf"^\s*{_MODS}enum\s+{_NAME}")))}
-
 Rows = tuple[list[dict], list[dict]]
 _custom: dict[str, Callable[[str, str], Rows]] = {}
 
@@ -102,30 +40,38 @@ def identifier(*parts: str) -> str:
 class _Out:
     def __init__(self, path: str) -> None:
         self.path, self.nodes, self.edges = path, [], []
+        self.ids: set[str] = set()
+        self.links: set[tuple[str, str, str]] = set()
         name = path.rsplit("/", 1)[-1]
         self.file = identifier(path)
         self.node(self.file, name.rsplit(".", 1)[0] or name, "file", None)
 
     def node(self, id_: str, label: str, kind: str, line: int | None) -> str:
-        if all(n["id"] != id_ for n in self.nodes):
+        if id_ not in self.ids:
+            self.ids.add(id_)
             self.nodes.append({"id": id_, "label": label, "source_file": self.path, "source_location": f"L{line}" if line else None, "node_type": kind, "node_seq": len(self.nodes)})
         return id_
 
     def edge(self, a: str, b: str, relation: str, confidence: str = "EXTRACTED") -> None:
-        if all((e["source"], e["target"], e["relation"]) != (a, b, relation) for e in self.edges):
+        if (a, b, relation) not in self.links:
+            self.links.add((a, b, relation))
             score = {"EXTRACTED": 1.0, "INFERRED": 0.7, "AMBIGUOUS": 0.4}[confidence]
             self.edges.append({"source": a, "target": b, "relation": relation, "confidence": confidence, "confidence_score": score, "weight": 1.0, "source_file": self.path, "edge_seq": len(self.edges)})
 
-    def imported(self, name: str, line: int, kind: str = "module") -> None:
-        self.edge(self.file, self.node(identifier(self.path, "import", name), name, kind, line), "imports")
+    def imported(self, name: str, line: int, kind: str = "module", relation: str = "imports") -> None:
+        self.edge(self.file, self.node(identifier(self.path, "import", name), name, kind, line), relation)
 
-    def calls(self, functions: list[tuple[str, str, str]]) -> None:
-        """``(name, id, body)``: a function's name before a bracket in another's body."""
+    def calls(self, functions: list[tuple[str, str, str]], bare: bool = False) -> None:
+        """``(name, id, body)``: a function's name before a bracket in another's body; ``bare``: or without one."""
+        known: dict[str, list[str]] = {}
+        for name, callee, _ in functions:
+            known.setdefault(name, []).append(callee)
         for _, caller, body in functions:
-            seen = set(re.findall(r"(?<![\w])(\w+[?!=]?)\s*\(", body))
-            for name, callee, _ in functions:
-                if callee != caller and name in seen:
-                    self.edge(caller, callee, "calls", "INFERRED")
+            said = dict.fromkeys(re.findall(r"(?<!\w)(\w+[?!=]?)" + ("" if bare else r"\s*\("), body))
+            for name in said:
+                for callee in known.get(name, ()):
+                    if callee != caller:
+                        self.edge(caller, callee, "calls", "INFERRED")
 
     def rows(self) -> Rows:
         return self.nodes, self.edges
@@ -160,50 +106,42 @@ def from_python(path: str, text: str) -> Rows:
     return out.rows()
 
 
-def from_patterns(path: str, text: str, spec: dict) -> Rows:
-    """By the language's patterns; the body of a function ends where the next begins."""
-    out = _Out(path)
-    line = lambda at: text.count("\n", 0, at) + 1
-    spots, types = [], {}
-    for kind, patterns in spec["types"]:
-        for p in patterns:
-            for m in p.finditer(text):
-                types[m["name"]] = out.node(identifier(path, m["name"]), m["name"], kind, line(m.start("name")))
-                out.edge(out.file, types[m["name"]], "defines")
-    for p in spec["functions"]:
-        for m in p.finditer(text):
-            got = m.groupdict()
-            method = bool((got.get("indent") or "").strip("\n")) or bool(got.get("receiver"))
-            spots.append((m.start("name"), m["name"], "method" if method else "function"))
-    spots.sort()
-    functions = []
-    for i, (at, name, kind) in enumerate(spots):
-        end = spots[i + 1][0] if i + 1 < len(spots) else len(text)
-        fid = out.node(identifier(path, name), f".{name}()" if kind == "method" else f"{name}()", kind, line(at))
-        out.edge(out.file, fid, "defines")
-        functions.append((name, fid, text[text.find("\n", at) if "\n" in text[at:end] else end : end]))
-    for p in spec["imports"]:
-        for m in p.finditer(text):
-            got, at = m.groupdict(), line(m.start())
-            if got.get("block"):
-                names = re.findall(r"\"([^\"]+)\"", got["block"])
-            elif got.get("names"):
-                names = [f"{got['from']}/{x.strip().split(' as ')[0]}" for x in got["names"].split(",") if x.strip()]
-            else:
-                names = [f"{got['from']}/{got['default']}" if got.get("default") else got.get("name")]
-            for name in names:
-                out.imported(name, at, spec.get("import_kind", "module"))
-    for p in spec.get("implements", ()):
-        for m in p.finditer(text):
-            if m["name"] in types:
-                trait = types.get(m["trait"]) or out.node(identifier(path, m["trait"]), m["trait"], "trait", line(m.start()))
-                out.edge(types[m["name"]], trait, "implements")
-    out.calls(functions)
+#: What the quick way says of imports, where it differs: relation or kind of node by language.
+QUICK = {"c": ("includes", "module"), "cpp": ("includes", "module"), "objc": ("includes", "module"), "csharp": ("imports", "namespace"), "go": ("imports", "package")}
+
+
+def from_islands(path: str, text: str, language: str, quick: bool = False) -> Rows:
+    """By the language's island grammar.
+
+    Functions are labelled ``name()``, methods ``.name()``; a method's id is that
+    of its type and its name. ``quick``: as where there is no syntax tree, ids of
+    methods don't name their types, and what C includes is included, not imported.
+    """
+    out, starts = _Out(path), [i for i, c in enumerate(text) if c == "\n"]
+    line = lambda at: bisect_left(starts, at) + 1
+    functions, found = [], island.declarations(text, language)
+    types = {f.name: f.kind for f in found if f.what == "type"}
+    for f in found:
+        if f.what == "type":
+            owner = identifier(path, f.inside) if f.inside in types and not quick else out.file
+            out.edge(owner, out.node(identifier(path, f.name), f.name, f.kind, line(f.at)), "defines")
+        elif f.what == "function":
+            owner = identifier(path, f.inside) if f.inside is not None and not quick else None
+            fid = out.node(identifier(owner, f.name) if owner else identifier(path, f.name), f".{f.name}()" if f.kind == "method" else f"{f.name}()", f.kind, line(f.at))
+            out.edge(owner if owner and f.inside in types else out.file, fid, "defines")
+            functions.append((f.name, fid, f.body))
+        elif f.what == "import":
+            relation, kind = QUICK.get(language, ("imports", f.kind)) if quick else ("imports", f.kind)
+            out.imported(f.name, line(f.at), kind, relation)
+    for f in found:
+        if f.what == "implements" and f.inside in types:
+            out.edge(identifier(path, f.inside), out.node(identifier(path, f.name), f.name, "trait", line(f.at)), "implements")
+    out.calls(functions, bare=language == "ruby")
     return out.rows()
 
 
-def extract_one(path: str, text: str) -> Rows:
-    """Rows of one file: a registered extractor, SQL, the Python tree, else patterns."""
+def extract_one(path: str, text: str, quick: bool = False) -> Rows:
+    """Rows of one file: a registered extractor, SQL, the Python tree, else islands."""
     ext = path.rsplit(".", 1)[-1].lower()
     if ext in _custom:
         return _custom[ext](path, text)
@@ -214,12 +152,12 @@ def extract_one(path: str, text: str) -> Rows:
         from graphloom.operators.sqlcode import from_sql
 
         return from_sql(path, text)
-    if language == "python":
+    if language == "python" and not quick:
         try:
             return from_python(path, text)
-        except SyntaxError:
+        except (SyntaxError, ValueError, RecursionError):
             pass
-    return from_patterns(path, text, SPEC.get(language, SPEC["generic"]))
+    return from_islands(path, text, language, quick)
 
 
 NODE = "id string, label string, source_file string, source_location string, node_type string, node_seq long"
@@ -235,6 +173,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame({"nodes": [r[0] for r in rows], "edges": [r[1] for r in rows]})
 
     both = files.select("path", "text").mapInPandas(run, f"nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<{EDGE.replace(' ', ':').replace(',:', ',')}>>")
+    both = written(both, "extracted", "zstd")  # so that files are parsed once, for nodes and edges
     return both.select(F.inline("nodes")), both.select(F.inline("edges"))
 
 
