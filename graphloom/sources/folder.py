@@ -84,8 +84,10 @@ def parts(files: list[tuple[str, str, int, int]]) -> list[Part]:
     return out
 
 
-def rows(root: str, part: Part, content: bool) -> Iterator[tuple]:
-    """A part's files; one that is gone meanwhile is deleted."""
+def rows(root: str, part: Part | None, content: bool) -> Iterator[tuple]:
+    """A part's files; one that is gone meanwhile is deleted. Without any file Spark asks for no part."""
+    if part is None:
+        return
     system, base = place(root.rstrip("/"))
     for path, change, length, modified in part.files:
         data = None

@@ -60,10 +60,9 @@ def test_grown_graph_equals_full_build(spark, tmp_path, monkeypatch):
     assert once(spark, tmp_path).current()["version"] == 2  # nothing changed
     rebuild.rebuild(store, spark.createDataFrame([], folder.SCHEMA), store.current()["batch"])
     assert store.current()["version"] == 2  # a batch that comes again
-    for n in (3, 4):
-        put(src, "pkg/a.py", f"def f{n}():\n    return 1\n")
-        store = once(spark, tmp_path)
-        assert store.current()["version"] == n and store.current()["facts"]["parsed"] == 1
+    put(src, "pkg/a.py", "def f3():\n    return 1\n")
+    store = once(spark, tmp_path)
+    assert store.current()["version"] == 3 and store.current()["facts"]["parsed"] == 1
     assert len([x for x in os.listdir(tmp_path / "store") if x.startswith("v")]) == rebuild.KEEP
     assert len(os.listdir(f"{tmp_path}/cp-snapshots")) <= 2
 
