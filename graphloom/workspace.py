@@ -40,6 +40,21 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Written tables of one piece of work, which go together when it is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        return written(df, name, compression, self.paths[-1])
+
+    def clear(self) -> None:
+        while self.paths:
+            removed(self.spark, self.paths.pop())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: survives lost executors and ends the lineage."""
     shared_dir(df.sparkSession)
