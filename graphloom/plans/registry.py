@@ -281,12 +281,10 @@ def simple_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "shortest_path",
-    "with recursive" + _SMALL[4:] + ", r(pos, step) as (select 'nation:1', 0 union select dst, step + 1 from r join s on src = pos where step < 8) select (min(step) + 1)::int as nodes from r where pos = 'nation:2'",
+    "with recursive" + G[4:] + ", r(pos, step) as (select 'nation:1', 0 union select dst, step + 1 from r join sym on src = pos where step < 5 and pos <> 'nation:2') select (min(step) + 1)::int as nodes from r where pos = 'nation:2'",
 )
 def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    kg = star(spark, sf)
-    small = KG(kg.nodes.where("node_type in ('module', 'struct', 'package')"), kg.edges.where("(relation = 'contains') or source like 'supplier%' and target like 'nation%'"))
-    path = traverse.shortest_path(small, "nation:1", "nation:2")
+    path = traverse.shortest_path(star(spark, sf), "nation:1", "nation:2")
     return spark.createDataFrame([(len(path) if path else None,)], "nodes int")
 
 
@@ -316,19 +314,22 @@ query(
 )(lambda spark, sf: iterate.cycles(KG(ring(spark, sf).select(F.col("source").alias("id")), ring(spark, sf)), 1_000_000).select(F.col("nodes")[0].alias("first_node"), F.size("nodes").alias("length"), F.round("severity", 9).alias("severity")))
 
 
-@query("weighted_path")
+# Costs are 1 at least, so a path of at most four in all has at most four steps.
+@query(
+    "weighted_path",
+    "with recursive"
+    + G[4:]
+    + """, c as (select source as src, target as dst, 1 / weight as cost from e where confidence_score >= 0.5 union all select target, source, 1 / weight from e where confidence_score >= 0.5),
+    r(pos, total) as (select 'supplier:1', 0::double union select dst, total + cost from r join c on src = pos where total + cost <= 4) select round(min(total), 9) as total from r where pos = 'supplier:2'""",
+)
 def weighted_path(spark: SparkSession, sf: str) -> DataFrame:
-    kg = star(spark, sf)
-    small = KG(kg.nodes.where("node_type in ('module', 'struct', 'package', 'class')"), kg.edges.where("relation in ('contains', 'references')"))
-    found = traverse.weighted_path(small, "supplier:1", "supplier:2", 0.5)
-    return spark.createDataFrame([(found[0] if found else None, found[1] if found else None)], "total double, path array<string>")
+    found = traverse.weighted_path(star(spark, sf), "supplier:1", "supplier:2", 0.5)
+    return spark.createDataFrame([(round(found[0], 9) if found else None,)], "total double")
 
 
 @query("communities")
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    kg = star(spark, sf)
-    small = KG(kg.nodes.where("node_type in ('module', 'struct', 'package', 'class')").drop("community").withColumn("community", F.lit(None).cast("int")), kg.edges.where("relation in ('contains', 'references')"))
-    return community.cluster(small)
+    return community.cluster(star(spark, sf))
 
 
 @query("label_propagation")
@@ -601,14 +602,26 @@ def _document(spark: SparkSession, sf: str) -> DataFrame:
     return one.select(F.concat(F.lit('{"nodes": ['), "n", F.lit('], "links": ['), "l", F.lit("]}")).alias("value"))
 
 
+query(
+    "graphml",
+    G
+    + """select 'n' || id as ord, '<node id="' || id || '"><data key="label">' || replace(replace(label, '&', '&amp;'), '''', '&apos;') || '</data><data key="type">' || node_type || '</data></node>' as line from n
+    union all select 'x' || lpad(edge_seq::varchar, 20, '0'), '<edge source="' || source || '" target="' || target || '"><data key="relation">' || relation || '</data><data key="weight">' || weight::varchar || '</data></edge>' from e""",
+)(_star(export.graphml))
+query(
+    "cypher",
+    G
+    + r"""select 'n' || id as ord, 'CREATE (' || replace(id, ':', '_') || ':' || upper(substring(node_type, 1, 1)) || substring(node_type, 2) || ' {id: ''' || id || ''', label: ''' || replace(label, '''', '\''') || '''})' as line from n
+    union all select 'x' || lpad(edge_seq::varchar, 20, '0'), 'CREATE (' || replace(source, ':', '_') || ')-[:' || upper(relation) || ' {confidence: ''' || confidence || '''}]->(' || replace(target, ':', '_') || ')' from e""",
+)(_star(export.cypher))
 query("graphml_nodes", G + """select 'n' || id as ord, '<node id="' || id || '"><data key="label">' || replace(replace(label, '&', '&amp;'), '''', '&apos;') || '</data><data key="type">' || node_type || '</data></node>' as line from n""")(
     _star(lambda kg: export.graphml(kg).where("ord like 'n%'"))
 )
 query("cypher_nodes", G + r"""select 'n' || id as ord, 'CREATE (' || replace(id, ':', '_') || ':' || upper(substring(node_type, 1, 1)) || substring(node_type, 2) || ' {id: ''' || id || ''', label: ''' || replace(label, '''', '\''') || '''})' as line from n""")(
     _star(lambda kg: export.cypher(kg).where("ord like 'n%'"))
 )
-query("svg_circle", f"with n as ({_NODES}), r as (select id, label, row_number() over (order by id) - 1 as i from n order by id limit 500), m as (select *, count(*) over () as c from r) select id, label, round(400 + 350 * cos(i * 2 * pi() / c - pi() / 2), 3) as x, round(400 + 350 * sin(i * 2 * pi() / c - pi() / 2), 3) as y from m")(_star(export.circle))
-query("vault_notes")(_star(lambda kg: export.vault(KG(kg.nodes.where("node_type in ('module', 'package')"), kg.edges.where("relation = 'contains'")))))
+query("svg_circle", f"with n as ({_NODES}), r as (select id, label, row_number() over (order by id) - 1 as i from n), m as (select *, count(*) over () as c from r) select id, label, round(400 + 350 * cos(i * 2 * pi() / c - pi() / 2), 3) as x, round(400 + 350 * sin(i * 2 * pi() / c - pi() / 2), 3) as y from m")(_star(export.circle))
+query("vault_notes")(_star(export.vault))
 query("wiki_pages")(_star(lambda kg: export.wiki(kg).select("file", F.md5("text").alias("digest"))))
 query(
     "debounced_events",

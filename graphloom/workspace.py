@@ -46,9 +46,21 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    def path(self, name: str) -> str:
         self.paths.append(new_path(self.spark, name))
-        return written(df, name, compression, self.paths[-1])
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        return written(df, name, compression, self.path(name))
+
+    def renewed(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``written``; the table of this name before it goes, as its rows are in the new one."""
+        old = [p for p in self.paths if p.rsplit("/", 1)[-1].rsplit("-", 1)[0] == name]
+        fresh = self.written(df, name)
+        for p in old:
+            removed(self.spark, p)
+            self.paths.remove(p)
+        return fresh
 
     def clear(self) -> None:
         while self.paths:
@@ -56,6 +68,16 @@ class Scratch:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: survives lost executors and ends the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A reliable checkpoint: survives lost executors and ends the lineage.
+
+    Constraints that Spark infers would go along with it and grow from round to
+    round of a loop, and planning with them; so none are inferred here.
+    """
+    spark, inferred = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    shared_dir(spark)
+    was = spark.conf.get(inferred)
+    spark.conf.set(inferred, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(inferred, was)

@@ -168,3 +168,21 @@ def test_tools_and_rpc(spark):
     assert len(Tools.NAMES) == 16
     found = t.query_graph("north")
     assert found["nodes"][0] == "north" and not found["truncated"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_delta_stepping_equals_dijkstra(spark, seed):
+    rng = random.Random(seed)
+    ids = [f"v{i}" for i in range(24)]
+    rows = [(a, b, rng.choice([0.05, 0.3, 0.9, 1.0, 2.0]), i) for i, (a, b) in enumerate((rng.choice(ids[:22]), rng.choice(ids[:22])) for _ in range(50))]
+    kg = KG(spark.createDataFrame([(x,) for x in ids], "id string"), spark.createDataFrame(rows, "source string, target string, weight double, edge_seq long").selectExpr("*", "1.0 as confidence_score"))
+    near = {}
+    for a, b, w, _ in rows:
+        near.setdefault(a, []).append((b, 1 / w))
+        near.setdefault(b, []).append((a, 1 / w))
+    for target in (ids[7], ids[23]):
+        want, got = traverse.local_dijkstra(near, ids[0], target), traverse.weighted_path(kg, ids[0], target)
+        assert (want is None) == (got is None)
+        if got:
+            assert got[0] == pytest.approx(want[0]) and got[1][0] == ids[0] and got[1][-1] == target
+            assert sum(min(c for x, c in near[a] if x == b) for a, b in zip(got[1], got[1][1:], strict=False)) == pytest.approx(got[0])
