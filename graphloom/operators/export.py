@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import html as _html
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import cypher_escape, sanitize_filename, sanitize_var, xml_escape
 from graphloom.graph import KG
-from graphloom.workspace import cut
 from graphloom.operators import analyze as A
+from graphloom.sources import linefiles
+from graphloom.workspace import cut
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
@@ -70,14 +70,53 @@ def svg(kg: KG) -> str:
     return "\n".join([*out, "</svg>"])
 
 
-def html(kg: KG, limit: int = 2000) -> str:
-    """A page with the pruned graph as data and a list."""
+#: A page draws its nodes on a circle and its edges as lines, names by the nodes.
+_HEAD = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title></head><body><h1>{title}</h1><canvas id="graph" width="900" height="900"></canvas><ul id="list"></ul>
+<script>const nodes = [], edges = [], pages = [];"""
+_TAIL = """const at = {}, c = document.getElementById("graph").getContext("2d"), list = document.getElementById("list");
+nodes.forEach((n, i) => { const a = 2 * Math.PI * i / nodes.length - Math.PI / 2; at[n.id] = [450 + 380 * Math.cos(a), 450 + 380 * Math.sin(a)]; });
+edges.forEach(e => { if (at[e.from] && at[e.to]) { c.beginPath(); c.moveTo(...at[e.from]); c.lineTo(...at[e.to]); c.strokeStyle = "#bbb"; c.stroke(); } });
+nodes.forEach(n => { const [x, y] = at[n.id]; c.beginPath(); c.arc(x, y, 4, 0, 7); c.fillStyle = "hsl(" + 47 * n.group % 360 + ",60%,50%)"; c.fill(); if (nodes.length <= 200) { c.fillStyle = "#000"; c.fillText(n.label, x + 6, y + 3); } });
+pages.forEach(p => { const a = document.createElement("a"), li = document.createElement("li"); a.href = p.file; a.textContent = p.label + " (" + p.size + ")"; li.append(a); list.append(li); });
+</script></body></html>"""
+
+
+def _pushed(name: str, row) -> Column:
+    """A line that adds a row to one of the page's lists; ``</`` can't end its script."""
+    return F.concat(F.lit(f"{name}.push("), F.replace(F.to_json(row), F.lit("</"), F.lit("<\\/")), F.lit(");"))
+
+
+def _page_lines(nodes: DataFrame, edges: DataFrame, titles: DataFrame) -> DataFrame:
+    """``(file, ord, line)`` of ``nodes(file, id, label, community)``, ``edges(file, source, target, relation, edge_seq)`` and ``titles(file, title)``."""
+    head = titles.select("file", F.lit("0").alias("ord"), F.replace(F.lit(_HEAD), F.lit("{title}"), xml_escape("title")).alias("line"))
+    n = nodes.select("file", F.concat(F.lit("1"), "id").alias("ord"), _pushed("nodes", F.struct("id", "label", F.col("community").alias("group"))).alias("line"))
+    e = edges.select("file", F.format_string("2%020d", "edge_seq").alias("ord"), _pushed("edges", F.struct(F.col("source").alias("from"), F.col("target").alias("to"), F.col("relation").alias("label"))).alias("line"))
+    return head.unionByName(n).unionByName(e).unionByName(titles.select("file", F.lit("9").alias("ord"), F.lit(_TAIL).alias("line")))
+
+
+def html(kg: KG, limit: int = 2000) -> DataFrame:
+    """``(file, ord, line)`` of one page with the pruned graph."""
     keep = A.html_prune(kg, limit)
-    nodes = kg.nodes.join(keep, "id", "left_semi").select("id", "label", "community").orderBy("id").collect()
-    ids = {r["id"] for r in nodes}
-    edges = [e for e in kg.edges.join(keep.withColumnRenamed("id", "source"), "source", "left_semi").join(keep.withColumnRenamed("id", "target"), "target", "left_semi").orderBy("edge_seq").limit(5 * limit).collect() if e["source"] in ids]
-    data = json.dumps({"nodes": [{"id": r["id"], "label": r["label"], "group": r["community"]} for r in nodes], "edges": [{"from": e["source"], "to": e["target"], "label": e["relation"]} for e in edges]})
-    return f'<!DOCTYPE html><html><body><div id="graph"></div><script id="data" type="application/json">{data.replace("</", "<" + chr(92) + "/")}</script></body></html>'
+    file = F.lit("graph.html").alias("file")
+    nodes = kg.nodes.join(keep, "id", "left_semi").select(file, "id", "label", "community")
+    edges = kg.edges.join(keep.withColumnRenamed("id", "source"), "source", "left_semi").join(keep.withColumnRenamed("id", "target"), "target", "left_semi").select(file, "source", "target", "relation", "edge_seq")
+    return _page_lines(nodes, edges, kg.nodes.sparkSession.createDataFrame([("graph.html", "Graph")], "file string, title string"))
+
+
+def split_html(kg: KG) -> DataFrame:
+    """``(file, ord, line)``: a page for each community with what is inside it, and an overview that links them."""
+    file = F.format_string("community_%d.html", "community").alias("file")
+    held = kg.nodes.where("community is not null")
+    inside = kg.with_ends("community").where("s_community = t_community").withColumnRenamed("s_community", "community")
+    labels = A.community_labels(kg)
+    lines = _page_lines(held.select(file, "id", "label", "community"), inside.select(file, "source", "target", "relation", "edge_seq"), labels.select(file, F.col("label").alias("title")))
+    over = F.lit("index.html").alias("file")
+    sized = held.groupBy("community").agg(F.count(F.lit(1)).alias("size")).join(labels, "community")
+    nodes = sized.select(over, F.col("community").cast("string").alias("id"), "label", "community")
+    links = A.community_links(kg).select(over, F.col("a").cast("string").alias("source"), F.col("b").cast("string").alias("target"), F.col("n").cast("string").alias("relation"), (F.col("a").cast("long") * F.lit(1 << 31) + F.col("b")).alias("edge_seq"))
+    pages = sized.select(over, F.format_string("3%020d", "community").alias("ord"), _pushed("pages", F.struct(file, "label", "size")).alias("line"))
+    title = kg.nodes.sparkSession.createDataFrame([("index.html", "Communities")], "file string, title string")
+    return lines.unionByName(_page_lines(nodes, links, title)).unionByName(pages)
 
 
 def wiki(kg: KG) -> DataFrame:
@@ -128,24 +167,15 @@ def memory_note(question: str, answer: str, nodes: list[str]) -> str:
     return f"---\nquestion: {json.dumps(question)}\nnodes: {json.dumps(nodes)}\n---\n\n{answer}\n"
 
 
-def write_lines(lines: DataFrame, path: str, head: str = "", tail: str = "") -> None:
-    """``lines(ord, line)`` in order, streamed to a local file."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(head)
-        for r in lines.orderBy("ord").toLocalIterator():
-            f.write(r["line"] + "\n")
-        f.write(tail)
-
-
-def write_pages(pages: DataFrame, folder: str) -> int:
-    """``pages(file, text)`` as files; returns how many."""
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for r in pages.toLocalIterator():
-        with open(os.path.join(folder, r["file"]), "w", encoding="utf-8") as f:
-            f.write(r["text"])
-        n += 1
-    return n
+def write_lines(lines: DataFrame, folder: str, file: str, head: str = "", tail: str = "") -> None:
+    """``lines(ord, line)`` in order as one file, written by an executor."""
+    ends = lines.sparkSession.createDataFrame([("", head), ("\U0010ffff", tail)], "ord string, line string").where("line <> ''")
+    linefiles.write(lines.select("ord", "line").unionByName(ends).withColumn("file", F.lit(file)), folder)
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """``pages(file, text)`` as files, or ``(file, ord, line)`` line by line, written by executors."""
+    linefiles.write(pages if "line" in pages.columns else pages.select("file", F.lit("0").alias("ord"), F.col("text").alias("line")), folder)
 
 
 def render(value, form: str = "text") -> str:

@@ -620,6 +620,15 @@ query("graphml_nodes", G + """select 'n' || id as ord, '<node id="' || id || '">
 query("cypher_nodes", G + r"""select 'n' || id as ord, 'CREATE (' || replace(id, ':', '_') || ':' || upper(substring(node_type, 1, 1)) || substring(node_type, 2) || ' {id: ''' || id || ''', label: ''' || replace(label, '''', '\''') || '''})' as line from n""")(
     _star(lambda kg: export.cypher(kg).where("ord like 'n%'"))
 )
+query(
+    "community_pages",
+    G
+    + """, m as (select id, community from n where community is not null), pg as (select 'community_' || community || '.html' as file, '1' as kind, count(*)::bigint as lines from m group by community
+    union all select 'community_' || a.community || '.html', '2', count(*)::bigint from e join m a on source = a.id join m b on target = b.id where a.community = b.community group by a.community
+    union all select 'index.html', '1', count(distinct community)::bigint from m union all select 'index.html', '3', count(distinct community)::bigint from m
+    union all select 'index.html', '2', count(distinct (least(a.community, b.community), greatest(a.community, b.community)))::bigint from e join m a on source = a.id join m b on target = b.id where a.community <> b.community)
+    select * from pg union all select distinct file, x, 1 from pg, (values ('0'), ('9')) as t(x)""",
+)(_star(lambda kg: export.split_html(kg).groupBy("file", F.substring("ord", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("lines"))))
 query("svg_circle", f"with n as ({_NODES}), r as (select id, label, row_number() over (order by id) - 1 as i from n), m as (select *, count(*) over () as c from r) select id, label, round(400 + 350 * cos(i * 2 * pi() / c - pi() / 2), 3) as x, round(400 + 350 * sin(i * 2 * pi() / c - pi() / 2), 3) as y from m")(_star(export.circle))
 query("vault_notes")(_star(export.vault))
 query("wiki_pages")(_star(lambda kg: export.wiki(kg).select("file", F.md5("text").alias("digest"))))
