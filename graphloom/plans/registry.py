@@ -241,6 +241,12 @@ query(
     union all select 'removed', 'node', id, null, null from (select id from o except select id from w)
     union all select 'added', 'edge', source, target, relation from (select * from we except select * from oe) union all select 'removed', 'edge', source, target, relation from (select * from oe except select * from we)""",
 )(lambda spark, sf: B.diff(*_snapshots(spark, sf)))
+query(
+    "graph_diff_lines",
+    _SNAP
+    + """select '+ node ' || id as line from (select id from w except select id from o) union all select '- node ' || id from (select id from o except select id from w)
+    union all select '+ edge ' || source || ' --' || relation || '--> ' || target from (select * from we except select * from oe) union all select '- edge ' || source || ' --' || relation || '--> ' || target from (select * from oe except select * from we)""",
+)(lambda spark, sf: B.diff_lines(*_snapshots(spark, sf)).select("line"))
 query(
     "graph_diff_summary",
     _SNAP + "select (select count(*) from o)::bigint as old_nodes, (select count(*) from w)::bigint as new_nodes, (select count(*) from oe)::bigint as old_edges, (select count(*) from we)::bigint as new_edges",

@@ -82,8 +82,14 @@ def is_sensitive(path: str = "path") -> Column:
     )
 
 
+def readable(content: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes a replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def paper_signs(text: str = "text") -> Column:
-    head = F.substring(text, 1, PAPER_PEEK)
+    """How many signs of a paper stand in the first ``PAPER_PEEK`` bytes."""
+    head = readable(F.substring(F.encode(text, "UTF-8"), 1, PAPER_PEEK))
     total = F.lit(0)
     for p in PAPER_SIGNS:
         total = total + head.rlike("(?i)" + p).cast("int")
@@ -99,15 +105,20 @@ def classify(path: str = "path", text: str | None = None) -> Column:
 
 
 def rule_regex(pattern: str) -> tuple[str, bool] | None:
-    """A line of an ignore file as a regular expression over paths, and whether it takes back."""
-    p = pattern.rstrip("\n")
-    if not p.strip() or p.startswith("#"):
+    """A line of an ignore file as a regular expression over paths, and whether it takes back.
+
+    As git reads them: classes in brackets, a backslash before what is meant
+    literally, white space at the end that doesn't count unless it has one.
+    """
+    p = re.sub(r"(?<!\\)\s+$", "", pattern.rstrip("\n"))
+    if not p or p.startswith("#"):
         return None
-    negated, p = p.startswith("!"), p.lstrip("!").rstrip()
+    negated, p = p.startswith("!"), p[p.startswith("!") :]
     folder, p = p.endswith("/"), p.rstrip("/")
     anchored, p = "/" in p, p.lstrip("/")
     out, i = "", 0
     while i < len(p):
+        close = p.find("]", i + 2 + (p[i + 1 : i + 2] in ("!", "^"))) if p[i] == "[" else -1
         if p.startswith("**/", i):
             out, i = out + "(?:.*/)?", i + 3
         elif p.startswith("**", i):
@@ -116,6 +127,11 @@ def rule_regex(pattern: str) -> tuple[str, bool] | None:
             out, i = out + "[^/]*", i + 1
         elif p[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif p[i] == "\\" and i + 1 < len(p):
+            out, i = out + re.escape(p[i + 1]), i + 2
+        elif close > 0:
+            inside, no = p[i + 1 : close], p[i + 1] in "!^"
+            out, i = out + "(?!/)[" + "^" * no + re.sub(r"([\[\]\\&^])", r"\\\1", inside[no:]) + "]", close + 1
         else:
             out, i = out + re.escape(p[i]), i + 1
     return ("^" if anchored else "(?:^|.*/)") + out + ("/.*$" if folder else "(?:/.*)?$"), negated
@@ -132,7 +148,7 @@ def ignored(files: DataFrame, *rule_lists: list[str]) -> DataFrame:
 
 def detect(files: DataFrame) -> DataFrame:
     """``files(path, content)`` → ``(path, file_type, words, sha256, sensitive)`` of what is to be read."""
-    rows = files.where(~in_noise()).withColumn("sensitive", is_sensitive()).withColumn("text", F.decode("content", "UTF-8"))
+    rows = files.where(~in_noise()).withColumn("sensitive", is_sensitive()).withColumn("text", readable(F.col("content")))
     rows = rows.withColumn("file_type", classify("path", "text")).where("sensitive or file_type is not null")
     binary = F.col("file_type").isin("image") | extension("path").isin(*PAPERS, *OFFICE)
     return rows.select("path", "file_type", F.when(~binary, word_count("text")).otherwise(0).cast("long").alias("words"), F.sha2("content", 256).alias("sha256"), "sensitive")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from graphloom.graph import KG
 from graphloom.operators import analyze, build, code, community, imports
 from graphloom.sources import folder
-from graphloom.sources.files import classify, in_noise, is_sensitive
+from graphloom.sources.files import classify, in_noise, is_sensitive, readable
 from graphloom.streaming.watch import DEBOUNCE, is_ignored
 from graphloom.workspace import removed, written
 
@@ -108,7 +108,7 @@ def rebuild(store: Store, changes: DataFrame, batch: int) -> None:
     """Takes ``changes(path, change, content)`` into the store's next version."""
     if store.current()["batch"] >= batch:
         return  # this batch was committed before a restart
-    told = changes.where(is_code()).select("path", "change", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
+    told = changes.where(is_code()).select("path", "change", readable(F.col("content")).alias("text"), F.sha2("content", 256).alias("sha256"))
     told = written(told, "changes", "zstd")
     old = store.read("files", FILES)
     known = told.where("change <> 'deleted'").join(old, ["path", "sha256"], "left_semi").select("path")
@@ -127,7 +127,7 @@ def rebuild(store: Store, changes: DataFrame, batch: int) -> None:
 
 def full(spark: SparkSession, root: str) -> KG:
     """The graph of a folder as it is, built at once."""
-    read = folder.files(spark, root).where(is_code()).select("path", F.decode("content", "UTF-8").alias("text"))
+    read = folder.files(spark, root).where(is_code()).select("path", readable(F.col("content")).alias("text"))
     return derive(*code.extract(read))[0]
 
 

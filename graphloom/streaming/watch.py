@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-DEBOUNCE, TTL_SECONDS = "3 seconds", 300
+DEBOUNCE, TTL_SECONDS, IDLE_SECONDS = "3 seconds", 300, 900
 # Parts of a path that make a change uninteresting.
 IGNORED_PARTS = (".git", "node_modules", "__pycache__", ".pyc", "target", ".DS_Store")
 
@@ -59,3 +59,24 @@ def freshness(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
         yield pd.DataFrame(out, columns=["key", "ts", "rebuild"])
 
     return requests.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, rebuild boolean", "built long", "append", GroupStateTimeout.NoTimeout)
+
+
+def idle(connections: DataFrame, seconds: int = IDLE_SECONDS) -> DataFrame:
+    """``connections(key, change)`` as a stream, 1 for an opened and -1 for a closed one → ``(key, active, idle)``.
+
+    A service that has no open connection is told idle after so many seconds of
+    silence; the timer runs on processing time and fires without any input.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "active": [0], "idle": [True]})
+            return
+        active = max(0, (state.get[0] if state.exists else 0) + sum(int(b["change"].sum()) for b in batches))
+        state.update((active,))
+        if not active:
+            state.setTimeoutDuration(1000 * seconds)
+        yield pd.DataFrame({"key": [key[0]], "active": [active], "idle": [False]})
+
+    return connections.groupBy("key").applyInPandasWithState(step, "key string, active long, idle boolean", "active long", "update", GroupStateTimeout.ProcessingTimeTimeout)
