@@ -13,7 +13,7 @@ from graphloom.functions.text import cypher_escape, sanitize_filename, sanitize_
 from graphloom.graph import KG
 from graphloom.operators import analyze as A
 from graphloom.sources import linefiles
-from graphloom.workspace import cut
+from graphloom.workspace import ranked
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
@@ -41,18 +41,10 @@ def cypher(kg: KG) -> DataFrame:
     return n.unionByName(x)
 
 
-def ranked_by_id(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``i``, their places in order of ``id`` from 0, without a sort in one task."""
-    parts = cut(nodes.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33)))
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select("part", F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("before"))  # a row for each partition
-    return parts.join(F.broadcast(before), "part").withColumn("i", F.coalesce("before", F.lit(0)) + F.col("at")).drop("part", "at", "before")
-
-
 def circle(kg: KG) -> DataFrame:
     """``(id, label, x, y)``: places of all nodes on a circle, in order of ids."""
-    ranked = ranked_by_id(kg.nodes.select("id", "label"))
-    rows = ranked.crossJoin(F.broadcast(ranked.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    places = ranked(kg.nodes.select("id", "label"), "id")
+    rows = places.crossJoin(F.broadcast(places.agg(F.count(F.lit(1)).alias("n"))))  # one row
     angle = F.col("i") * 2 * 3.141592653589793 / F.col("n") - 3.141592653589793 / 2
     return rows.select("id", "label", F.round(400 + 350 * F.cos(angle), 3).alias("x"), F.round(400 + 350 * F.sin(angle), 3).alias("y"))
 

@@ -357,6 +357,11 @@ def random_walks(spark: SparkSession, sf: str) -> DataFrame:
     return embed.walks(KG(kg.nodes.where("node_type in ('module', 'package')"), kg.edges.where("relation = 'contains'")), 2, 5)
 
 
+@query("node_embeddings")
+def node_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.node_vectors(star(spark, sf))
+
+
 query(
     "similar_pairs",
     """with v as (select vec_id, embedding from embeddings order by vec_id limit 500), x as (select a.vec_id as node_a, b.vec_id as node_b, list_dot_product(a.embedding::double[], b.embedding::double[])

@@ -91,12 +91,8 @@ class Tools:
         return _rows(A.community_summary(self.kg).orderBy(F.desc("size"), "community").limit(top_n))
 
     def find_similar(self, top_n: int = 10) -> list[dict]:
-        seqs = embed.walks(self.kg, 2, 10).groupBy("walk").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "id"))), lambda x: x["id"]).alias("s")).orderBy("walk").limit(2000)
-        vectors = embed.train([r["s"] for r in seqs.collect()], 16)
-        if not vectors:
-            return []
-        df = self.kg.nodes.sparkSession.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "id string, embedding array<double>")
-        return _rows(embed.similar_pairs(df, top_n=top_n))
+        """Of vectors trained for all nodes."""
+        return _rows(embed.similar_pairs(embed.node_vectors(self.kg), top_n=top_n))
 
     NAMES = (
         "query_graph", "semantic_query", "get_node", "get_neighbors", "get_community", "god_nodes", "graph_stats", "shortest_path", "find_all_paths", "weighted_path",

@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,3 +83,11 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set(inferred, was)
+
+
+def ranked(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``i``, their places in order of ``by`` from 0, without a sort in one task."""
+    parts = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33)))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("part", F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("before"))  # a row for each partition
+    return parts.join(F.broadcast(before), "part").withColumn("i", F.coalesce("before", F.lit(0)) + F.col("at")).drop("part", "at", "before")
