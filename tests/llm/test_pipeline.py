@@ -26,6 +26,9 @@ ODD = [
 def test_entries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
+    import __spark_entry__ as entry  # an import that fails there only warns, so look that nothing is missing
+
+    assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_stages(spark, sf_dir):
