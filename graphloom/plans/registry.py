@@ -269,6 +269,22 @@ query(
 )(_star(lambda kg: traverse.neighbors(kg, "supplier:1", 2)))
 
 
+#: Depth first from nation:1 and part:1, two steps: part:1 is popped first, then its neighbours, then nation:1.
+_DFS = (
+    G
+    + """, s as (select distinct src, dst from sym where src <> dst), start as (select * from (values ('part:1'), ('nation:1')) as v(id)),
+c1 as (select dst as id, 1 as depth, 'part:1' as parent from s where src = 'part:1' and dst not in (select id from start)),
+g1 as (select dst as id, 2 as depth, min(src) as parent from s join c1 on src = c1.id where dst not in (select id from start union all select id from c1) group by dst),
+c2 as (select dst as id, 1 as depth, 'nation:1' as parent from s where src = 'nation:1' and dst not in (select id from start union all select id from c1 union all select id from g1)),
+g2 as (select dst as id, 2 as depth, min(src) as parent from s join c2 on src = c2.id where dst not in (select id from start union all select id from c1 union all select id from g1 union all select id from c2) group by dst),
+t as (select id, 0 as depth, null as parent from start union all select * from c1 union all select * from g1 union all select * from c2 union all select * from g2)
+"""
+)
+_DFS_STARTS = ["nation:1", "part:1"]
+query("dfs", _DFS + "select id, depth, parent from t")(_star(lambda kg: traverse.dfs_tree(kg, _DFS_STARTS, 2).select("id", "depth", "parent")))
+query("dfs_edges", _DFS + "select src, dst from sym join t on src = id where depth < 2")(_star(lambda kg: traverse.steps_of(kg, traverse.dfs_tree(kg, _DFS_STARTS, 2), 2)))
+
+
 _SMALL = G + ", s as (select src, dst from sym where src not like 'order%' and dst not like 'order%' and src not like 'part%' and dst not like 'part%' and src not like 'cust%' and dst not like 'cust%')"
 
 
@@ -447,7 +463,7 @@ def query_graph(spark: SparkSession, sf: str) -> DataFrame:
 query(
     "subgraph_text",
     f"with e as ({_EDGES}), l as (select edge_seq as ord, source || ' --' || relation || '--> ' || target as line from e), u as (select *, coalesce(sum(strlen(line) + 1) over (order by ord rows between unbounded preceding and 1 preceding), 0) as used from l) select ord, line from u where used < 2000",
-)(_star(lambda kg: traverse.subgraph_text(kg.edges.orderBy("edge_seq").limit(500).select(F.col("edge_seq").alias("ord"), F.concat("source", F.lit(" --"), "relation", F.lit("--> "), "target").alias("line")), 500)))
+)(_star(lambda kg: traverse.subgraph_text(kg.edges.select(F.col("edge_seq").alias("ord"), F.concat("source", F.lit(" --"), "relation", F.lit("--> "), "target").alias("line")), 500)))
 query("index_text", f"with n as ({_NODES}) select id as node_id, label || chr(10) || id || chr(10) || 'type: ' || node_type || chr(10) || 'file: ' || source_file as text from n")(_star(lambda kg: search.index_text(kg.nodes)))
 
 # -- text and column functions ------------------------------------------------------------------------------------

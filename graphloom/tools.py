@@ -36,6 +36,21 @@ class Tools:
         context = T.bounded_context(self.kg, seeds, search.query_scores(self.kg, terms).select("id", "score"), budget)
         return {"seeds": seeds, **context, **({"warning": warning} if warning else {})}
 
+    def query(self, question: str, depth_first: bool = False, budget: int = 2000, depth: int = 2) -> str:
+        """A question's best nodes and what lies around them as text, breadth or depth first.
+
+        Starts are the five best by meaning if there is an index that knows any, else the five best by words.
+        """
+        starts = [] if self.index is None or self.encoder is None else [r["node_id"] for r in self._matches(question, 5).collect()]
+        if not starts:
+            terms = [w.lower() for w in question.split() if len(w.encode()) > 2]
+            starts = [r["id"] for r in search.score_nodes(self.kg, terms, 5).collect()]
+        if not starts:
+            return "No matching nodes found."
+        if depth_first:
+            return T.visited_text(self.kg, T.dfs_tree(self.kg, starts, depth), depth, ("place",), budget)
+        return T.visited_text(self.kg, T.bfs(self.kg, starts, depth), depth, ("depth",), budget)
+
     def _matches(self, question: str, top_n: int) -> DataFrame:
         if self.index is None or self.encoder is None:
             raise ValueError("no semantic index: build one with operators.search.index_text and operators.embed.encode_text")
