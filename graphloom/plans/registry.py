@@ -15,7 +15,7 @@ from graphloom.functions import text as X
 from graphloom.graph import KG, is_file_node, is_method_stub
 from graphloom.operators import analyze as A
 from graphloom.operators import build as B
-from graphloom.operators import code, community, docs, embed, export, imports, iterate, search, semantic, traverse
+from graphloom.operators import code, community, docs, embed, export, imports, iterate, search, semantic, termindex, traverse
 from graphloom.operators.components import connected_components
 from graphloom.sources import files, nodelink, web
 from graphloom.sources.tables import RING_EDGES, STAR_EDGES, STAR_NODES, derived, oracle, ring, star, table
@@ -390,12 +390,35 @@ query(
 _QUESTION = "Where is the Customer order handler used?"
 _HIT = "greatest(case when lower(label) = '{t}' then 4.0 when contains(lower(label), '{t}') then 2.5 else 0 end, case when lower(id) = '{t}' then 3.0 when contains(lower(id), '{t}') then 1.8 else 0 end, case when contains(lower(source_file), '{t}') then 0.8 else 0 end)::double"
 _TYPE = "case when node_type in ('function', 'method') then 1.3 when node_type in ('struct', 'class') then 1.1 when node_type = 'module' then 0.9 when node_type = 'package' then 0.45 else 1.0 end::double"
-query(
-    "score_nodes",
+_SCORES = (
     G
     + f""", s as (select id, degree, priority, node_type, {_HIT.format(t="customer")} as a, {_HIT.format(t="order")} as b from k)
-    select id, round((a + b + ((a > 0)::int + (b > 0)::int) / 2.0::double) * priority::double * {_TYPE} + ln(1 + degree) * 0.05, 6) as score from s where a + b > 0""",
-)(_star(lambda kg: search.score_nodes(kg, search.question_terms(_QUESTION)).withColumn("score", F.round("score", 6))))
+    select id, round((a + b + ((a > 0)::int + (b > 0)::int) / 2.0::double) * priority::double * {_TYPE} + ln(1 + degree) * 0.05, 6) as score from s where a + b > 0"""
+)
+query("score_nodes", _SCORES)(_star(lambda kg: search.score_nodes(kg, search.question_terms(_QUESTION)).withColumn("score", F.round("score", 6))))
+
+
+@query("score_nodes_by_postings", _SCORES)
+def score_nodes_by_postings(spark: SparkSession, sf: str) -> DataFrame:
+    kg = star(spark, sf)
+    index = termindex.term_index(kg.nodes, "id", search.NAME_COLUMNS)
+    return search.score_nodes(kg, search.question_terms(_QUESTION), index=index).withColumn("score", F.round("score", 6))
+
+
+_NAME_TERMS = ("customer", "lib", "00017", "ue", "nothing_like_it")
+
+
+@query(
+    "term_weights_by_postings",
+    f"with n as ({_NODES}), t as (" + " union all ".join(f"select '{t}' as term, count(*) filter (contains(lower(label), '{t}') or contains(lower(id), '{t}') or contains(lower(source_file), '{t}'))::bigint as df, count(*) as n from n" for t in _NAME_TERMS)
+    + ") select term, df, round(least(greatest(ln((n + 1.0::double) / (df + 1.0::double)), 0.25), 2.75), 6) as weight from t",
+)
+def term_weights_by_postings(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = star(spark, sf).nodes
+    index = termindex.term_index(nodes, "id", search.NAME_COLUMNS)
+    return search.indexed_weights(index, nodes, [search.Term(t, False) for t in _NAME_TERMS]).withColumn("weight", F.round("weight", 6))
+
+
 _SEED_TYPE = "case when node_type in ('function', 'method') then 1.25 when node_type in ('struct', 'class') then 1.1 when node_type = 'module' then 0.45 when node_type = 'package' then 0.65 else 1.0 end::double"
 _SEED = "(case when lower(label) = '{t}' then 5.0 when contains(lower(label), '{t}') then 3.0 else 0 end + case when lower(id) = '{t}' then 4.0 when contains(lower(id), '{t}') then 2.5 else 0 end + case when contains(lower(source_file), '{t}') then 0.8 else 0 end)::double"
 query(
