@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -189,6 +189,45 @@ def thin_communities(kg: KG, below: int = 3) -> DataFrame:
     return kg.membership().groupBy("community").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") < below)
 
 
+# What marks a document that explains the project, and what it counts.
+PROJECT_PATHS = (20, ("product.md", "readme.md"), ("project.md",))
+PROJECT_LABELS = ((30, ("purpose", "goal", "what this is", "core value")), (15, ("architecture", "how it works")))
+DEEPEST, NO_LEVEL = 3, 9
+
+
+def project_documents(kg: KG, top_n: int = 8) -> DataFrame:
+    """Concepts from project documents whose heading is no deeper than ``DEEPEST``: those that explain most first.
+
+    Points come from the path's end, the label's words and the heading's level: the
+    column ``level`` or ``extra['doc_level']``. One without a level that can be read counts as deep.
+    """
+    rows = _annotated(kg)
+
+    def told_by(column: str, key: str) -> Column:
+        """The value of a node's own column, else that in its extras."""
+        some = [F.col(column).cast("string")] if column in kg.nodes.columns else []
+        some += [F.col("extra")[key]] if "extra" in kg.nodes.columns else []
+        return F.coalesce(*some, F.lit(None).cast("string"))
+
+    level = F.coalesce(told_by("level", "doc_level").try_cast("int"), F.lit(NO_LEVEL))
+    rows = rows.withColumn("doc_text", told_by("doc_text", "doc_text"))
+    rows = rows.where((F.col("node_type") == "concept") & F.array_contains("source_flags", "project_context")).withColumn("level", level).where(F.col("level").between(0, DEEPEST))
+    path, label = (X.ascii_lower(F.coalesce(c, F.lit(""))) for c in ("source_file", "label"))
+    points, ends, parts = PROJECT_PATHS
+    told = F.lit(False)
+    for e in ends:
+        told = told | path.endswith(e)
+    for e in parts:
+        told = told | path.contains(e)
+    rank = F.when(told, points).otherwise(0)
+    for points, words in PROJECT_LABELS:
+        said = F.lit(False)
+        for w in words:
+            said = said | label.contains(w)
+        rank = rank + F.when(said, points).otherwise(0)
+    return rows.select("id", "label", "source_file", (rank - F.col("level")).alias("rank"), "doc_text").orderBy(F.desc("rank"), "source_file", "label", "id").limit(top_n)
+
+
 def entrypoints(kg: KG, top_n: int = 12) -> DataFrame:
     """Summary candidates by degree times priority."""
     rows = _annotated(kg).join(kg.degrees(), "id").where(~is_file_node() & ~is_method_stub() & is_summary_candidate())

@@ -146,9 +146,12 @@ def report(kg: KG) -> str:
     return "\n".join(out) + "\n"
 
 
-def context_pack(kg: KG) -> str:
-    """What to read first: entry points, key communities, and what to leave aside."""
-    out = ["# Context", "", "## Entry points", "", *[f"- {r['label']} ({r['source_file']})" for r in A.entrypoints(kg).collect()], "", "## Communities", ""]
+def context_pack(kg: KG, text_chars: int = 900) -> str:
+    """What to read first: project documents, entry points, key communities, and what to leave aside."""
+    out = ["# Context", "", "## Project documents", ""]
+    for r in A.project_documents(kg).withColumn("doc_text", F.substring("doc_text", 1, text_chars)).collect():
+        out += [f"### {r['label']}", "", f"- file: `{r['source_file']}`", *[f"  {line}" for line in (r["doc_text"] or "").splitlines()[:8]], ""]
+    out += ["## Entry points", "", *[f"- {r['label']} ({r['source_file']})" for r in A.entrypoints(kg).collect()], "", "## Communities", ""]
     out += [f"- {r['community']}: {r['id']}" for r in A.key_communities(kg).orderBy(F.desc("priority"), "community", "place").collect()]
     out += ["", "## Low signal", "", *[f"- {r['source_kind']}: {r['n']}" for r in A.low_signal_histogram(kg).orderBy("source_kind").collect()]]
     return "\n".join(out) + "\n"

@@ -142,6 +142,23 @@ query(
     "entrypoints",
     G + "select id, label, source_file, trunc(degree * priority::double * 100)::bigint as score from k where not is_file and not is_stub and not low and label not like '.%' and node_type not in ('package', 'module') order by score desc, id limit 12",
 )(_star(A.entrypoints))
+_SECTIONS = """select concat('doc:', doc_id) as id, concat(case doc_id % 6 when 0 then 'Purpose of ' when 1 then 'How it works: ' when 2 then 'Goals and Architecture ' else '' end, lang, ' ', source) as label,
+  concat(case doc_id % 4 when 0 then 'docs/' when 1 then 'src/docs/' when 2 then 'src/' else '.planning/' end, case doc_id % 5 when 0 then 'README.md' when 1 then 'a_project.md' when 2 then 'PRODUCT.md' else 'notes.md' end) as source_file,
+  case when doc_id % 11 = 0 then 'class' else 'concept' end as node_type, doc_id % 7 as level, text from {documents}"""
+
+
+@query(
+    "project_documents",
+    f"""with d as ({oracle(_SECTIONS)}), p as (select *, lower(source_file) as path, lower(label) as low from d where node_type = 'concept' and level <= 3)
+    select id, label, source_file, (case when path like '%product.md' or path like '%readme.md' or contains(path, 'project.md') then 20 else 0 end
+      + case when contains(low, 'purpose') or contains(low, 'goal') then 30 else 0 end + case when contains(low, 'architecture') or contains(low, 'how it works') then 15 else 0 end - level)::int as rank, text as doc_text
+    from p where path like '%/readme.md' or path like '%/product.md' or path like 'docs/%' or contains(path, '/docs/') or path like '.planning/%' order by rank desc, source_file, label, id limit 8""",
+)
+def project_documents(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = derived(spark, sf, _SECTIONS).withColumn("extra", F.create_map(F.lit("doc_level"), F.col("level").cast("string"), F.lit("doc_text"), F.col("text")))
+    return A.project_documents(KG(nodes, None)).withColumn("rank", F.col("rank").cast("int"))
+
+
 query(
     "key_communities",
     G

@@ -7,7 +7,8 @@ import time
 import pytest
 
 from graphloom.graph import KG
-from graphloom.operators import build, search
+from graphloom.operators import analyze as A
+from graphloom.operators import build, docs, export, search
 from graphloom.sources import files
 from graphloom.streaming import watch
 from tests.test_graph import LINES, graph
@@ -88,3 +89,21 @@ def test_an_idle_timer_fires_without_input(spark, tmp_path):
         assert not any(k == "open" and idle for k, _, idle in seen)
     finally:
         q.stop()
+
+
+def test_project_documents(spark):
+    rows = [
+        ("p", "Purpose", "README.md", "concept", {"doc_level": "1", "doc_text": "why\nhow"}), ("a", "Architecture goals", "docs/x.md", "concept", {"doc_level": "2"}), ("b", "Other", "docs/PRODUCT.md", "concept", {"doc_level": "3"}),
+        ("deep", "Purpose", "README.md", "concept", {"doc_level": "4"}), ("none", "Purpose", "README.md", "concept", None), ("odd", "Purpose", "README.md", "concept", {"doc_level": "one"}),
+        ("code", "Purpose", "README.md", "class", {"doc_level": "1"}), ("src", "Purpose", "src/a.md", "concept", {"doc_level": "1"}),
+    ]
+    nodes = spark.createDataFrame([(*r, 0) for r in rows], "id string, label string, source_file string, node_type string, extra map<string,string>, community int")
+    edges = spark.createDataFrame([], "source string, target string, relation string, confidence string, confidence_score double, weight double, edge_seq long")
+    kg = KG(nodes, edges)
+    assert [(r["id"], r["rank"]) for r in A.project_documents(kg).collect()] == [("p", 49), ("a", 43), ("b", 17)]
+    assert A.project_documents(KG(nodes.drop("extra"), edges)).count() == 0
+    texts = spark.createDataFrame([("README.md", "# Purpose\n\nTo join.\n\n#### Purpose in depth\n\nNo.\n")], "path string, text string")
+    found = A.project_documents(KG(docs.markdown(texts)[0], edges)).collect()
+    assert [(r["label"], r["rank"], r["doc_text"]) for r in found] == [("Purpose", 49, "To join.")]
+    pack = export.context_pack(kg)
+    assert pack.index("### Purpose") < pack.index("### Architecture goals") and "  why\n  how\n" in pack
