@@ -327,21 +327,21 @@ def shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(len(path) if path else None,)], "nodes int")
 
 
-@query("pagerank")
-def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = iterate.pagerank(star(spark, sf), rounds=20)
-    return ranked.select("id", F.round("score", 10).alias("score"), "degree")
-
-
 _PR = f"""with recursive n as ({_NODES}), e as ({_EDGES}), sym as (select source as src, target as dst from e union all select target, source from e),
 deg as (select src, count(*) as k from sym group by 1), l as (select sym.src, sym.dst, count(*)::double / any_value(k) as w from sym join deg on sym.src = deg.src group by 1, 2),
 c as (select count(*)::double as n from n),
 r(step, id, score) as (select 0, id, 1.0::double / c.n from n, c union all
-  select any_value(r.step) + 1, l.dst, 0.15::double / any_value(c.n) + 0.85::double * sum(r.score * l.w) from r join l on r.id = l.src, c where r.step < 5 group by l.dst)
-select id, round(score, 10) as score from r where step = 5"""
+  select any_value(r.step) + 1, l.dst, 0.15::double / any_value(c.n) + 0.85::double * sum(r.score * l.w) from r join l on r.id = l.src, c where r.step < {{rounds}} group by l.dst)
+"""
 
 
-query("pagerank_five_rounds", _PR)(_star(lambda kg: iterate.pagerank(kg, rounds=5, tolerance=0.0).select("id", F.round("score", 10).alias("score"))))
+query("pagerank_five_rounds", _PR.format(rounds=5) + "select id, round(score, 10) as score from r where step = 5")(_star(lambda kg: iterate.pagerank(kg, rounds=5, tolerance=0.0).select("id", F.round("score", 10).alias("score"))))
+
+@query("pagerank", _PR.format(rounds=20) + "select id, round(score, 10) as score, k as degree from r join deg on src = id where step = 20")
+def pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = iterate.pagerank(star(spark, sf), rounds=20)
+    return ranked.select("id", F.round("score", 10).alias("score"), "degree")
+
 
 _RING = oracle(RING_EDGES)
 _ORBIT = f"with recursive g as ({_RING}), o(start, pos, step) as (select source, source, 0 from g union select start, g.target, step + 1 from o join g on g.source = o.pos where step < 64)"
@@ -697,7 +697,17 @@ query(
     select * from pg union all select distinct file, x, 1 from pg, (values ('0'), ('9')) as t(x)""",
 )(_star(lambda kg: export.split_html(kg).groupBy("file", F.substring("ord", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("lines"))))
 query("svg_circle", f"with n as ({_NODES}), r as (select id, label, row_number() over (order by id) - 1 as i from n), m as (select *, count(*) over () as c from r) select id, label, round(400 + 350 * cos(i * 2 * pi() / c - pi() / 2), 3) as x, round(400 + 350 * sin(i * 2 * pi() / c - pi() / 2), 3) as y from m")(_star(export.circle))
-query("vault_notes")(_star(export.vault))
+query(
+    "vault_notes",
+    f"""with n as ({_NODES}), e as ({_EDGES}),
+    c as (select *, trim(regexp_replace(label, '[/\\\\:*?"<>|]', '_', 'g'), ' .') as t from n),
+    f as (select *, case when t = '' then 'untitled' else t end as base from c),
+    i as (select *, row_number() over (partition by lower(base) order by id) as k from f),
+    m as (select *, case when k > 1 then base || '_' || (k - 1) else base end as name from i),
+    l as (select distinct src, '- ' || relation || ' [[' || name || ']]' as line from (select source as src, target as dst, relation from e union all select target, source, relation from e) join m on m.id = dst),
+    g as (select src, string_agg(line, chr(10) order by line) as links from l group by src)
+    select name || '.md' as file, '---' || chr(10) || 'type: ' || node_type || chr(10) || 'file: ' || source_file || chr(10) || '---' || chr(10) || chr(10) || '# ' || label || chr(10) || chr(10) || coalesce(links, '') as text from m left join g on src = id""",
+)(_star(export.vault))
 query("wiki_pages")(_star(lambda kg: export.wiki(kg).select("file", F.md5("text").alias("digest"))))
 query(
     "debounced_events",
