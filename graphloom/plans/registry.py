@@ -630,7 +630,12 @@ query(
 )(lambda spark, sf: code.extract(_sources(spark, sf))[1].select("source", "target", "relation"))
 
 
-@query("resolve_imports")
+@query(
+    "resolve_imports",
+    """with f as (select p_partkey as k, (p_partkey * 7 + 3) % 100 as j from part), kinds as (select * from (values ('thing'), ('make')) as v(kind))
+    select concat('web_m', k, '_ts_', a.kind, k) as source, concat('web_m', j, '_ts_', b.kind, j) as target, 'uses' as relation, 0.8::double as confidence_score
+    from f cross join kinds a cross join kinds b where j in (select p_partkey from part) and j <> k""",
+)
 def resolve_imports(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     text = F.concat(F.lit("import { Thing } from 'm"), (k * 7 + 3) % 100, F.lit("';\nexport class Thing"), k, F.lit(" {}\nfunction make"), k, F.lit("() { return 1; }\n"))
