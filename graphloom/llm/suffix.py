@@ -231,13 +231,8 @@ def tell_runs(docs: pd.DataFrame, repeated: pd.DataFrame, buckets: int, width: i
 
 def _words(t: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     """The ``8 n`` bytes from each position as ``n`` numbers that order like the bytes."""
-    w = np.zeros(len(at) * 8, dtype=np.uint8).reshape(-1, 8)
-    out = []
-    for k in range(n):
-        for j in range(8):
-            w[:, j] = t[at + (8 * k + j)]
-        out.append(w.view(">u8").ravel().astype(np.uint64))
-    return out
+    from_each = np.ndarray((len(t) - 7,), dtype=">u8", buffer=t, strides=(1,))
+    return [from_each[at + 8 * k].astype(np.uint64) for k in range(n)]
 
 
 def _classes(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -364,17 +359,19 @@ def answer_runs(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
         cut = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
         first = np.minimum.reduceat(owner[text_of], cut)
         low[order] = first[cls] < owner[text_of]
-    rows: list[list[tuple[int, int, int]]] = [[] for _ in range(len(pdf))]
-    part: dict[int, list[tuple[int, int]]] = {}
-    for r, k, u, d in zip(row.tolist(), run.tolist(), no.tolist(), least.tolist(), strict=True):
-        if d > owner[u]:
-            rows[r].append((k, 0, int(count[u])))
-            continue
-        if u not in part:
-            flags = np.diff(np.concatenate([[0], low[start[u] : start[u] + count[u]].astype(np.int8), [0]]))
-            part[u] = list(zip(np.flatnonzero(flags > 0).tolist(), np.flatnonzero(flags < 0).tolist(), strict=True))
-        rows[r] += [(k, a, b) for a, b in part[u]]
-    out = [(int(g), np.array(x, dtype="<i4").tobytes()) for g, x in zip(pdf["grp"], rows, strict=True) if x]
+    edge = np.diff(low.astype(np.int8), prepend=0, append=0)  # what is low never goes beyond a run's own strings
+    first, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    of = np.searchsorted(start, first, side="right") - 1
+    whole, lo = least > owner[no], np.searchsorted(of, no, side="left")
+    n = np.where(whole, 1, np.searchsorted(of, no, side="right") - lo)
+    k = np.repeat(np.arange(len(no)), n)
+    part = np.where(whole[k], len(first), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(k)))
+    u = no[k]
+    a = np.where(whole[k], 0, np.append(first, 0)[part] - start[u])
+    b = np.where(whole[k], count[u], np.append(end, 0)[part] - start[u])
+    told = np.stack([run[k], a, b], axis=1).astype("<i4")
+    cut = np.searchsorted(row[k], np.arange(len(pdf) + 1))
+    out = [(int(g), told[cut[r] : cut[r + 1]].tobytes()) for r, g in enumerate(pdf["grp"]) if cut[r] < cut[r + 1]]
     return pd.DataFrame(out, columns=["grp", "packed"])
 
 
