@@ -6,7 +6,9 @@ and its postings in compressed sparse rows (``starts`` by term; ``places`` of
 documents with a count each). Once the whole corpus is counted, the shards are
 sealed: each posting's count becomes an integer impact, which needs the document's
 length and the corpus' mean length only. A term's weight is integer as well, so
-weight times impact is the exact score and is never rounded again.
+weight times impact is the exact score and is never rounded again. A shard has a row group
+of its own (``ALONE``): Parquet else looks at its buffers after 100 rows only, so writers and
+readers would hold all shards of a task at once.
 
 A search takes its items in blocks of at most ``ITEMS`` items and
 ``ITEM_BYTES`` of text, so what goes to the tasks is bounded. Every shard answers
@@ -44,6 +46,8 @@ PIECE = 1 << 22
 K = 10
 ITEMS, ITEM_BYTES = 1000, 4 << 20
 
+ALONE = {"parquet.block.size": "1048576", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
 RAW = "n_docs long, n_terms long, docs binary, unnamed binary, lengths binary, terms binary, starts binary, places binary, counts binary"
 SEALED = "n_docs long, docs binary, unnamed binary, terms binary, starts binary, places binary, impacts binary"
 ANSWERS = "query long, item_id long, doc_id long, score long"
@@ -152,9 +156,9 @@ class Index:
         bound(spark)
         text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), F.col("text").cast("binary").alias("data"))
         path = new_path(spark, "postings")
-        raw = written(text.mapInPandas(_sharded, RAW), "postings", "zstd", path)
+        raw = written(text.mapInPandas(_sharded, RAW), "postings", "zstd", path, **ALONE)
         n_docs, n_terms = raw.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-        shards = written(raw.mapInPandas(_sealing(n_docs, n_terms), SEALED), "impacts", "zstd")
+        shards = written(raw.mapInPandas(_sealing(n_docs, n_terms), SEALED), "impacts", "zstd", **ALONE)
         removed(spark, path)
         return cls(shards, n_docs)
 
