@@ -165,14 +165,18 @@ EDGE = "source string, target string, relation string, confidence string, confid
 
 
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``files(path, text)`` → nodes and edges, deduplicated within each file."""
+    """``files(path, text)`` → nodes and edges, deduplicated within each file.
+
+    Files are dealt out first: a small table of them is read by one task, and parsing takes far longer than reading.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         for pdf in batches:
             rows = [extract_one(p, t or "") for p, t in zip(pdf["path"], pdf["text"], strict=True)]
             yield pd.DataFrame({"nodes": [r[0] for r in rows], "edges": [r[1] for r in rows]})
 
-    both = files.select("path", "text").mapInPandas(run, f"nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<{EDGE.replace(' ', ':').replace(',:', ',')}>>")
+    both = files.select("path", "text").repartition(parts, "path").mapInPandas(run, f"nodes array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<{EDGE.replace(' ', ':').replace(',:', ',')}>>")
     both = written(both, "extracted", "zstd")  # so that files are parsed once, for nodes and edges
     return both.select(F.inline("nodes")), both.select(F.inline("edges"))
 

@@ -79,8 +79,11 @@ def resolve_cross_file(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     An import is looked up by its candidate names, the first that is known
     counts. With more than 500 pairs of local and target entities, files use
-    files; else an entity uses its namesake, or up to fifty of the targets.
+    files; else an entity uses its namesake, or up to fifty of the targets. All
+    tables grow with the files, but compress so well that Spark takes them for
+    small ones and would broadcast them through the driver, so the joins ask for a sort-merge.
     """
+    nodes, edges = nodes.hint("merge"), edges.hint("merge")
     defines = edges.where("relation = 'defines'")
     defined = nodes.join(defines.select(F.col("target").alias("id")).distinct(), "id", "left_semi").where("node_type <> 'file'")
     folder = F.regexp_extract("source_file", r"([^/]+)/[^/]+\.go$", 1)
@@ -91,18 +94,18 @@ def resolve_cross_file(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     key = ["source_file", "edge_seq", "source"]
     ext = F.regexp_extract("source_file", r"\.([^./]+)$", 1)
     tries = imports.select(*key, F.posexplode(candidates(ext, F.col("import_label"))).alias("pos", "c")).select(*key, "pos", "c.name", "c.only").where("name <> ''")
-    known = tries.join(entity.select("name").distinct(), "name", "left_semi")
+    known = tries.join(entity.select("name").distinct().hint("merge"), "name", "left_semi")
     first = known.groupBy(*key).agg(F.min(F.struct("pos", "name", "only")).alias("m")).select(*key, "m.name", "m.only")
-    hits = first.join(entity, "name").withColumn("fits", (F.col("only").isNotNull() & (F.col("only") == F.col("to_label"))).cast("int"))
+    hits = first.join(entity.hint("merge"), "name").withColumn("fits", (F.col("only").isNotNull() & (F.col("only") == F.col("to_label"))).cast("int"))
     hits = hits.withColumn("any", F.max("fits").over(W.partitionBy(*key))).where("fits = any").select(*key, "to", "to_label", "node_seq")
     local = defines.select("source_file", F.col("target").alias("local")).distinct()
-    sizes = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n_to")).join(local.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_local")), "source_file")
-    wide = sizes.where(F.col("n_to") * F.col("n_local") > MOST_PAIRS).select(*key)
-    narrow = sizes.where(F.col("n_to") * F.col("n_local") <= MOST_PAIRS).select(*key)
+    sizes = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n_to")).join(local.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_local")).hint("merge"), "source_file")
+    wide = sizes.where(F.col("n_to") * F.col("n_local") > MOST_PAIRS).select(*key).hint("merge")
+    narrow = sizes.where(F.col("n_to") * F.col("n_local") <= MOST_PAIRS).select(*key).hint("merge")
     file_of = defines.groupBy(F.col("target").alias("to")).agg(F.min("source").alias("file_id"))
     by_file = hits.join(wide, key, "left_semi").join(file_of, "to").where("source <> file_id").select("source_file", F.col("source").alias("a"), F.col("file_id").alias("b"))
     local_label = local.join(label_of.select(F.col("id").alias("local"), F.col("import_label").alias("local_label")), "local")
-    pairs = hits.join(narrow, key, "left_semi").join(local_label, "source_file")
+    pairs = hits.join(narrow, key, "left_semi").join(local_label.hint("merge"), "source_file")
     pairs = pairs.withColumn("same", (F.col("local_label") == F.col("to_label")).cast("int")).withColumn("has", F.max("same").over(W.partitionBy(*key, "local")))
     used = edges.where("relation = 'uses'").select(F.col("source").alias("a"), F.col("target").alias("b"))
     namesake = pairs.where("has = 1 and same = 1").select(*key, F.col("local").alias("a"), F.col("to").alias("b"))
