@@ -11,9 +11,10 @@ from graphloom.functions.quality import annotate, is_low_signal, is_summary_cand
 from graphloom.graph import KG, is_file_node, is_method_stub
 from graphloom.workspace import cut
 
-# Labels that say nothing by themselves, and the ranks of node types as a community's name.
+# Labels that say nothing by themselves, the length of a report, and the ranks of node types as a community's name.
 GENERIC_LABELS = ("lib", "mod", "main", "index", "init")
 GENERIC_NAMES = ("lib", "super::*", "main", "mod", "tests")
+REPORT = 10_000
 NAME_RANK = {"function": 3, "class": 3, "struct": 3, "module": 1, "file": 0}
 
 
@@ -69,13 +70,22 @@ def community_bridges(kg: KG, top_n: int = 10) -> DataFrame:
 
 
 def suggest_questions(kg: KG, labels: DataFrame | None = None, top_n: int = 7) -> DataFrame:
-    """Questions by category: ambiguous edges, bridges, uncertain hubs, isolated nodes, loose communities."""
+    """Questions by category: ambiguous edges, bridges, uncertain hubs, isolated nodes, loose communities.
+
+    Categories come one after the other, so if ambiguous edges fill a report of at most ``REPORT`` questions, no other is looked for.
+    """
     nodes = _annotated(kg)
     kg = KG(nodes, kg.edges)
     s = F.format_string
     doubt = kg.edges.where("confidence = 'AMBIGUOUS'").select(
         F.lit(1).alias("rank"), F.lit("ambiguous_relationship").alias("category"), F.col("edge_seq").alias("seq"), F.col("source").alias("subject"), s("What is the exact relationship between '%s' and '%s'? (marked as %s)", "source", "target", "relation").alias("question")
     )
+    order = ["rank", "seq", "subject", "question"]
+    if top_n <= REPORT:
+        first = cut(doubt.orderBy(*order).limit(top_n))
+        if first.count() == top_n:
+            return first.orderBy(*order)
+        doubt = first  # all there are
     theirs = kg.membership().select(F.col("node_id").alias("dst"), "community")
     many = kg.sym().join(theirs, "dst").groupBy("src").agg(F.count_distinct("community").alias("n")).where("n >= 3")
     bridges = nodes.where(~is_file_node() & ~is_low_signal()).join(many, F.col("id") == F.col("src")).select(
@@ -97,7 +107,7 @@ def suggest_questions(kg: KG, labels: DataFrame | None = None, top_n: int = 7) -
         s("Why is '%s' (%d nodes) loosely connected (cohesion %.2f)? Should it be split?", name, F.col("size"), F.col("cohesion")).alias("question"),
     )
     everything = doubt.unionByName(bridges).unionByName(gods).unionByName(alone).unionByName(loose)
-    return everything.orderBy("rank", "seq", "subject", "question").limit(top_n)
+    return everything.orderBy(*order).limit(top_n)
 
 
 def graph_stats(kg: KG) -> DataFrame:
