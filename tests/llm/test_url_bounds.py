@@ -24,3 +24,13 @@ def test_rules_beyond_any_bound_of_tokens(spark):
     want = brute_rules(found)
     assert any({"p:xa", "p:xb", "p:xc"} <= set(t) for t, _ in want)
     assert {(r.tokens, r.support) for r in urlrules.mine(df)} == want
+
+
+def test_rules_where_every_blocked_url_is_wide(spark):
+    rng, words = random.Random(6), [f"w{chr(97 + k)}" for k in range(20)]
+    rows = [(i, "http://h.net/" + "/".join(rng.sample(words, 16 if i % 3 == 0 else 5)), i % 3 == 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, url string, block boolean")
+    found = [(set(r.t), r.block) for r in df.select(urlrules.tokens(F.col("url")).alias("t"), "block").collect()]
+    assert min(len(t) for t, b in found if b) > urlrules.WIDTH
+    want = brute_rules(found)
+    assert want and {(r.tokens, r.support) for r in urlrules.mine(df)} == want
