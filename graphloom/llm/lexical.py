@@ -8,7 +8,8 @@ sealed: each posting's count becomes an integer impact, which needs the document
 length and the corpus' mean length only. A term's weight is integer as well, so
 weight times impact is the exact score and is never rounded again. A shard has a row group
 of its own (``ALONE``): Parquet else looks at its buffers after 100 rows only, so writers and
-readers would hold all shards of a task at once.
+readers would hold all shards of a task at once. No statistics are kept: a writer holds those of all
+row groups until its file ends, and for a shard they are copies of its columns.
 
 A search takes its items in blocks of at most ``ITEMS`` items and
 ``ITEM_BYTES`` of text, so what goes to the tasks is bounded. Every shard answers
@@ -46,7 +47,7 @@ PIECE = 1 << 22
 K = 10
 ITEMS, ITEM_BYTES = 1000, 4 << 20
 
-ALONE = {"parquet.block.size": "1048576", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+ALONE = {"parquet.block.size": "1048576", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
 
 RAW = "n_docs long, n_terms long, docs binary, unnamed binary, lengths binary, terms binary, starts binary, places binary, counts binary"
 SEALED = "n_docs long, docs binary, unnamed binary, terms binary, starts binary, places binary, impacts binary"
